@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -90,3 +91,17 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
     for k in range(size):
         out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + words[k : len(words) - size + 1 + k])
     return np.unique(out)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000, size: str = "32m"):
+    """Within it, Python gets batches of at most so many rows and about so many bytes, so that long texts don't add up."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -5,8 +5,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.llm.exact_dedup import dedup_exact
+from tallyloom.llm.ngram_join import similar_sets
+from tallyloom.llm.packing import pack_documents
 from tallyloom.llm.secret_scan import secret_digest
 from tallyloom.llm.source_mixing import mix_sources
+from tallyloom.llm.warc_bundles import archive_digest
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +28,20 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_exact(_table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_sets(_table(spark, sf_dir, "documents"), words=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_digest(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_source_mixing, op5_exact_dedup)
+    f.__name__: f for f in (op1_secret_scan, op2_source_mixing, op5_exact_dedup, op6_ngram_join, op7_packing, op10_warc)
 }
 
 ORACLE_SQL = {
@@ -38,4 +53,12 @@ ORACLE_SQL = {
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM ranked
     """,
+    "op10_warc": """
+        WITH t AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+                max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages
+        )
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to FROM t
+    """,
 }
