@@ -68,17 +68,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """64-bit hashes of the words of one text, A-Z lower-cased, in order."""
+def words_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and 64-bit hashes of the words of one text, A-Z lower-cased for the hashes, in order."""
     raw = _LOWER[np.frombuffer(text, np.uint8)]
     inside = np.concatenate(([False], ~_SPACE[raw], [False]))
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
-        return np.zeros(0, np.uint64)
+        return starts, ends, np.zeros(0, np.uint64)
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(raw)), out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * _power(_BACK, len(raw))[starts] + (ends - starts).astype(np.uint64))
+    return starts, ends, mix64((sums[ends] - sums[starts]) * _power(_BACK, len(raw))[starts] + (ends - starts).astype(np.uint64))
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    return words_of(text)[2]
 
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
