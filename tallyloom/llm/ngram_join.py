@@ -73,7 +73,7 @@ def _frequent(sizes: DataFrame) -> bytes:
 
 
 def _prefixes(docs: DataFrame, words: int, percent: int, bitmap) -> DataFrame:
-    """doc_id, digest, prefix: the set's first shingles in the order (frequent, hash)."""
+    """doc_id, digest, prefix: the set's first shingles in the order (frequent, hash), twice its prefix less one."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap.value, np.uint32)
@@ -85,7 +85,7 @@ def _prefixes(docs: DataFrame, words: int, percent: int, bitmap) -> DataFrame:
                 if len(s):
                     place = s % np.uint64(FILTER_BITS)
                     often = (bits[place >> np.uint64(5)] >> (place & np.uint64(31)).astype(np.uint32)) & 1
-                    s = np.concatenate([s[often == 0][: (k := _prefix(len(s), percent))], s[often == 1][:k]])[:k]
+                    s = np.concatenate([s[often == 0][: (k := 2 * _prefix(len(s), percent) - 1)], s[often == 1][:k]])[:k]
                 prefixes.append(s)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), _lists(prefixes)], ["doc_id", "digest", "prefix"])
 
@@ -93,25 +93,33 @@ def _prefixes(docs: DataFrame, words: int, percent: int, bitmap) -> DataFrame:
 
 
 def _families(sets: DataFrame, percent: int) -> DataFrame:
-    """(set, family): sets joined, directly or through others, by a shingle of their prefixes, of sizes that may match.
-
-    A list of one shingle falls into blocks by position: entries beyond the index prefix never
-    match each other, so a list without an entry in the first block is skipped, as is one of
-    sets whose sizes lie in no two neighbouring classes. Of a list only the edges to its least
-    set are made.
+    """(set, family): sets joined, directly or through others, as pairs that may link.
+
+    An index list falls into blocks by position: entries beyond the index prefix never match
+    each other, so lists without an entry in the first block are skipped. Of a list of at most
+    FREQUENT entries all pairs of fitting sizes are tried, which is at most half FREQUENT an
+    entry; a pair stays if the doubled prefixes share as many shingles as one prefix holds,
+    which any two linked sets do. Of longer lists, those of frequent shingles, only the edges
+    to the least set of two neighbouring size classes are made.
     """
     base = math.log(100 / percent) * (1 + 1e-9)
     n = F.col("n")
     first = n - F.ceil(F.lit(2 * percent) * n / F.lit(100 + percent) - 1e-9) + 1
-    entries = sets.select("set", F.floor(F.log(n) / base).cast("int").alias("k"), first.alias("first"), F.posexplode("prefix").alias("pos", "shingle"))
-    entries = entries.select("set", "k", "shingle", (F.col("pos") < F.col("first")).alias("front"))
-    lists = entries.groupBy("shingle").agg(F.count("*").alias("held"), F.bool_or("front").alias("any_front"), F.min("k").alias("k0"), F.max("k").alias("k1"), F.min("set").alias("least"))
-    lists = lists.filter("held > 1 and any_front").select("shingle", "k0", "k1", "least")
+    width = n - F.ceil(F.lit(percent) * n / F.lit(100) - 1e-9) + 1
+    entries = sets.select("set", "n", F.floor(F.log(n) / base).cast("int").alias("k"), first.alias("first"), F.posexplode(F.slice("prefix", 1, width.cast("int"))).alias("pos", "shingle"))
+    entries = entries.select("set", "n", "k", "shingle", (F.col("pos") < F.col("first")).alias("front"))
+    lists = entries.groupBy("shingle").agg(F.count("*").alias("held"), F.bool_or("front").alias("any_front")).filter("held > 1 and any_front").select("shingle", "held")
     held = keep(entries.join(lists, "shingle"), "entries")
-    narrow = held.filter("k1 - k0 <= 1").select("set", "least")
-    wide = held.filter("k1 - k0 > 1").select("set", "shingle", "front", F.explode(F.array("k", F.col("k") + 1)).alias("g"))
-    heads = wide.groupBy("shingle", "g").agg(F.min("set").alias("least"), F.bool_or("front").alias("any_front"), F.count("*").alias("held")).filter("held > 1 and any_front")
-    return components(narrow.union(wide.join(heads.select("shingle", "g", "least"), ["shingle", "g"]).select("set", "least"))).select(F.col("node").alias("set"), F.col("component").alias("family"))
+    few = held.filter(F.col("held") <= FREQUENT)
+    one, two = few.select("shingle", *[F.col(c).alias(f"{c}1") for c in ("set", "n", "front")]), few.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("set", "n", "front")])
+    fits = (F.col("set1") < F.col("set2")) & (F.col("front1") | F.col("front2")) & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
+    pairs = keep(one.join(two, one["shingle"].eqNullSafe(two["shingle"]) & fits).select("set1", "set2").distinct(), "pairs")
+    side = lambda i: sets.select(F.col("set").alias(f"set{i}"), F.col("prefix").alias(f"prefix{i}"), width.alias(f"width{i}"))
+    close = pairs.join(side(1), "set1").join(side(2), "set2").filter(F.size(F.array_intersect("prefix1", "prefix2")) >= F.least("width1", "width2")).select("set1", "set2")
+    many = held.filter(F.col("held") > FREQUENT).select("set", "shingle", "front", F.explode(F.array("k", F.col("k") + 1)).alias("g"))
+    heads = many.groupBy("shingle", "g").agg(F.min("set").alias("least"), F.bool_or("front").alias("any_front"), F.count("*").alias("held")).filter("held > 1 and any_front")
+    stars = many.join(heads.select("shingle", "g", "least"), ["shingle", "g"]).select("set", "least")
+    return components(close.union(stars)).select(F.col("node").alias("set"), F.col("component").alias("family"))
 
 
 def _tasks(members: DataFrame) -> DataFrame:
@@ -210,7 +218,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         real = sizes.filter("doc_id is not null and n > 0")
         classes = keep(real.groupBy("digest").agg(F.min("doc_id").alias("set"), F.count("*").alias("weight"), F.first("n").alias("n")), "classes")
         prefixes = _prefixes(texts, words, percent, bitmap).filter("doc_id is not null and size(prefix) > 0").groupBy("digest").agg(F.first("prefix").alias("prefix"))
-        families = keep(_families(classes.join(prefixes, "digest"), percent), "families")
+        families = keep(_families(keep(classes.join(prefixes, "digest"), "sets"), percent), "families")
         base = math.log(100 / percent) * (1 + 1e-9)
         member = classes.join(families, "set").select("set", "weight", "family", "n", F.floor(F.log("n") / base).cast("int").alias("k"))
         member = keep(member, "members")
