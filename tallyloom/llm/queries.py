@@ -4,9 +4,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyloom.llm.embedding_dedup import similar_vectors
 from tallyloom.llm.exact_dedup import dedup_exact
+from tallyloom.llm.language_id import predict_languages
 from tallyloom.llm.ngram_join import similar_sets
 from tallyloom.llm.packing import pack_documents
+from tallyloom.llm.quality_crf import score_quality
 from tallyloom.llm.secret_scan import secret_digest
 from tallyloom.llm.source_mixing import mix_sources
 from tallyloom.llm.warc_bundles import archive_digest
@@ -24,6 +27,14 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_exact(_table(spark, sf_dir, "documents"))
 
@@ -36,12 +47,16 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(_table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_digest(_table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_source_mixing, op5_exact_dedup, op6_ngram_join, op7_packing, op10_warc)
+    f.__name__: f for f in (op1_secret_scan, op2_source_mixing, op3_quality_crf, op4_embedding_dedup, op5_exact_dedup, op6_ngram_join, op7_packing, op9_language_id, op10_warc)
 }
 
 ORACLE_SQL = {
