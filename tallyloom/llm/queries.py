@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyloom.llm.embedding_dedup import similar_vectors
 from tallyloom.llm.exact_dedup import dedup_exact
 from tallyloom.llm.language_id import predict_languages
+from tallyloom.llm.license_scan import scan_licenses
 from tallyloom.llm.ngram_join import similar_sets
 from tallyloom.llm.packing import pack_documents
 from tallyloom.llm.quality_crf import score_quality
@@ -47,6 +48,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(_table(spark, sf_dir, "documents"))
 
@@ -56,7 +61,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_source_mixing, op3_quality_crf, op4_embedding_dedup, op5_exact_dedup, op6_ngram_join, op7_packing, op9_language_id, op10_warc)
+    f.__name__: f for f in (op1_secret_scan, op2_source_mixing, op3_quality_crf, op4_embedding_dedup, op5_exact_dedup, op6_ngram_join, op7_packing, op8_license_scan, op9_language_id, op10_warc)
 }
 
 ORACLE_SQL = {
