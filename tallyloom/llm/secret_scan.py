@@ -39,8 +39,8 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Base kinds stand alone. A weak kind is reported only beside a complementary part: within
     ``reach`` characters of it and in its scope (no blank line between) there is an access
-    part for a secret, a secret for an access part, either for an endpoint; it must not
-    overlap a base span. The interval join asks each candidate for the nearest end before and
+    part for a secret, and a secret for an access part or an endpoint; it must not overlap a
+    base span. The interval join asks each candidate for the nearest end before and
     the nearest start after it of each part, so a scope's pairs are never listed.
 
     Places count code points, ends are exclusive. Nulls: a null text is empty, a null id is
@@ -66,7 +66,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near = lambda p: F.coalesce(F.col("start") - F.max(F.when(F.col("part") == p, F.col("end"))).over(before) <= reach, F.lit(False)) | F.coalesce(F.min(F.when(F.col("part") == p, F.col("start"))).over(after) - F.col("end") <= reach, F.lit(False))
     covered = F.coalesce(F.max(F.when(F.col("base"), F.col("end"))).over(before) > F.col("start"), F.lit(False)) | F.coalesce(F.min(F.when(F.col("base"), F.col("start"))).over(after) < F.col("end"), F.lit(False))
     linked = placed.withColumns({"secret_near": near("secret"), "access_near": near("access"), "covered": covered})
-    held = F.col("base") | ~F.col("covered") & F.when(F.col("part") == "access", F.col("secret_near")).when(F.col("part") == "secret", F.col("access_near")).otherwise(F.col("secret_near") | F.col("access_near"))
+    held = F.col("base") | ~F.col("covered") & F.when(F.col("part") == "access", F.col("secret_near")).when(F.col("part") == "secret", F.col("access_near")).otherwise(F.col("secret_near"))
     span = F.when(held & (F.col("kind") != "break"), F.struct("start", "rank", "end", "kind"))
     return linked.groupBy("row").agg(F.first("id").alias(id_col), F.array_sort(F.collect_list(span)).alias("spans")).drop("row")
 

@@ -8,7 +8,7 @@ from tallyloom.llm.common import WORD, keep, text_or_empty
 
 #: Bits of the sampling hash, and bits that each histogram resolves.
 HASH_BITS, LEVEL_BITS = 60, 12
-#: Documents above the threshold that at most close the gap it leaves.
+#: Documents above the threshold that at most go into the gap it leaves.
 CLOSING = 3
 
 
@@ -75,10 +75,11 @@ def _plan(rows: DataFrame, weights: tuple[float, ...], budget: float, most: floa
     edges = _thresholds(rows, plan.filter("rest > 0").select("source", "rest"))
     plan = keep(plan.drop("rest").withColumnRenamed("source", "s").join(edges, F.col("s").eqNullSafe(F.col("source")), "left").drop("source"), "plan")
     plan = plan.withColumn("closing", F.array().cast("array<long>"))
-    for _ in range(CLOSING):
-        off = F.col("missing") - F.col("size")
-        fits = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).filter((F.col("h") >= F.col("threshold")) & (F.col("size") > 0) & (off >= 0) & ~F.array_contains("closing", F.col("h")))
-        best = fits.groupBy("source").agg(F.min(F.struct(off.alias("off"), "h")).alias("best"))
+    for n in range(CLOSING + 1):  # the last one may go beyond, if that is nearer
+        left = F.col("missing") - F.col("size")
+        fits = left >= 0 if n < CLOSING else F.abs(left) < F.col("missing")
+        rest = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).filter((F.col("h") >= F.col("threshold")) & (F.col("size") > 0) & fits & ~F.array_contains("closing", F.col("h")))
+        best = rest.groupBy("source").agg(F.min(F.struct(F.abs(left).alias("off"), "h")).alias("best"))
         more = F.when(F.col("best").isNotNull(), F.array("best.h")).otherwise(F.array().cast("array<long>"))
         plan = keep(
             plan.join(best, F.col("s").eqNullSafe(F.col("source")), "left").drop("source")
@@ -112,7 +113,8 @@ def mix_sources(
     A source whose target is t of its s words gives every document floor(t/s) times, and once
     more those whose hash lies below a threshold found by nested histograms; thereafter up to
     three documents above the threshold, each the largest that fits into what is still
-    missing. No row is sorted or ranked. ``size`` counts words.
+    missing, and one that brings the sum nearer if it goes beyond; so no more is missing than
+    half of any document left out. No row is sorted or ranked. ``size`` counts words.
 
     Nulls: a null text has size 0, a null source is a source of its own, a null id is hashed
     as such. Rows equal in id and text share a hash and are taken together. Documents of size
