@@ -24,12 +24,30 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables whose rows are counted are broadcast up to this size.
+BROADCAST_BYTES = 64 << 20
+
+
 def keep(df: DataFrame, name: str = "table") -> DataFrame:
     """Write the rows to the shared folder and read them back: they outlive any executor, and lineage ends there."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete what ``keep`` wrote, once nothing to come reads it."""
+    jvm, spark = df.sparkSession._jvm, df.sparkSession
+    path = jvm.org.apache.hadoop.fs.Path(df.kept_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def if_small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """A kept table, to be broadcast if its rows fit in BROADCAST_BYTES; else as it is, to be shuffled."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
 def text_or_empty(text: str = "text") -> Column:

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import keep
+from tallyloom.llm.common import forget, keep
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,7 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
     sign = F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
     seen = now.agg(*sign).first()
     while seen[0]:
-        now = keep(_small_star(_large_star(now)).filter("u <> v").distinct(), "edges")
+        before, now = now, keep(_small_star(_large_star(now)).filter("u <> v").distinct(), "edges")
+        forget(before)
         was, seen = seen, now.agg(*sign).first()
         if was == seen:
             break

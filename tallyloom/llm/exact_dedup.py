@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import keep, shared_path, text_or_empty
+from tallyloom.llm.common import if_small, keep, shared_path, text_or_empty
 
-#: Groups of copies are broadcast up to this size, at this many bytes a group.
-BROADCAST_BYTES, HIT_BYTES = 64 << 20, 160
+#: Bytes that a broadcast row of a group of copies takes.
+HIT_BYTES = 160
 
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -123,8 +123,7 @@ def _full(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _unequal(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str, rows_per_salt: int) -> list[str]:
     """Digests under which two different normalised texts were found: SHA-256 collisions, so none, or a handful."""
     hits = hits.select("digest", "keep_id", "keep_points", F.ceil(F.col("group_size") / rows_per_salt).cast("int").alias("salts"))
-    if hits.count() * HIT_BYTES <= BROADCAST_BYTES:  # beyond that size texts are shuffled to the groups
-        hits = F.broadcast(hits)
+    hits = if_small(keep(hits, "hits"), HIT_BYTES)  # beyond its size texts are shuffled to the groups
     held = _full(docs, id_col, text_col).join(hits, "digest")
     mine = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("keep_points"))
     dealt = held.filter(~mine).withColumn("salt", F.pmod(F.xxhash64("doc_id", "points"), F.col("salts")))
@@ -148,7 +147,7 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     digests that have such rows are reduced to one row each.
     """
     out = keep(dedup_exact(docs, id_col, text_col, **options), "dedup")
-    dropped = out.filter("not kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
+    dropped = if_small(keep(out.filter("not kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")), "dropped"), HIT_BYTES)
     digest = F.sha2(normalised(text_or_empty(text_col)), 256)
     rest = docs.join(dropped, F.col(id_col).eqNullSafe(F.col("_id")) & (digest == F.col("_sha")), "left_anti")
     twice = keep(out.filter("kept").groupBy(F.col("text_sha256").alias("_sha")).count().filter("count > 1").select("_sha"), "repeated")

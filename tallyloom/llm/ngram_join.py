@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tallyloom.llm.common import keep, shingle_set, small_batches
+from tallyloom.llm.common import BROADCAST_BYTES, forget, if_small, keep, shingle_set, small_batches
 from tallyloom.llm.components import components
 
 #: A shingle in more sets than this comes last in the order of shingles, so that prefixes avoid it.
@@ -20,8 +20,8 @@ FREQUENT = 32
 FILTER_BITS = 1 << 25
 #: A verifying task holds two blocks of at most about so many sets, and shingles, each.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 21
-#: Member tables are broadcast up to this size, at this many bytes a row; beyond, texts are shuffled to them.
-BROADCAST_BYTES, ROW_BYTES = 64 << 20, 64
+#: Bytes that a broadcast row of ids takes.
+ROW_BYTES = 64
 
 
 def _prefix(n: int, percent: int) -> int:
@@ -54,7 +54,7 @@ def _sizes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
-            pools = [s[: 2 * _prefix(len(s), percent) + 8] if len(s) else s for s in sets]
+            pools = [s[: 3 * _prefix(len(s), percent) // 2 + 8] if len(s) else s for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), _lists(pools)], ["doc_id", "n", "digest", "pool"])
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("pool", T.ArrayType(T.LongType()))])
@@ -73,23 +73,24 @@ def _frequent(sizes: DataFrame) -> bytes:
 
 
 def _prefixes(docs: DataFrame, words: int, percent: int, bitmap) -> DataFrame:
-    """doc_id, digest, prefix: the set's first shingles in the order (frequent, hash), twice its prefix less one."""
+    """set (the id), n, prefix: the set's first shingles in the order (frequent, hash), twice its prefix less one."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap.value, np.uint32)
         for batch in batches:
-            digests, prefixes = [], []
+            sizes, prefixes = [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, words)
-                digests.append(_digest(s))
+                sizes.append(len(s))
                 if len(s):
                     place = s % np.uint64(FILTER_BITS)
                     often = (bits[place >> np.uint64(5)] >> (place & np.uint64(31)).astype(np.uint32)) & 1
                     s = np.concatenate([s[often == 0][: (k := 2 * _prefix(len(s), percent) - 1)], s[often == 1][:k]])[:k]
                 prefixes.append(s)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), _lists(prefixes)], ["doc_id", "digest", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), _lists(prefixes)], ["set", "n", "prefix"])
 
-    return docs.mapInArrow(step, T.StructType([docs.schema["doc_id"], T.StructField("digest", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))]))
+    schema = T.StructType([T.StructField("set", docs.schema["doc_id"].dataType), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    return docs.mapInArrow(step, schema)
 
 
 def _families(sets: DataFrame, percent: int) -> DataFrame:
@@ -106,20 +107,27 @@ def _families(sets: DataFrame, percent: int) -> DataFrame:
     n = F.col("n")
     first = n - F.ceil(F.lit(2 * percent) * n / F.lit(100 + percent) - 1e-9) + 1
     width = n - F.ceil(F.lit(percent) * n / F.lit(100) - 1e-9) + 1
-    entries = sets.select("set", "n", F.floor(F.log(n) / base).cast("int").alias("k"), first.alias("first"), F.posexplode(F.slice("prefix", 1, width.cast("int"))).alias("pos", "shingle"))
-    entries = entries.select("set", "n", "k", "shingle", (F.col("pos") < F.col("first")).alias("front"))
-    lists = entries.groupBy("shingle").agg(F.count("*").alias("held"), F.bool_or("front").alias("any_front")).filter("held > 1 and any_front").select("shingle", "held")
+    entries = sets.select("set", "n", first.alias("first"), F.posexplode(F.slice("prefix", 1, width.cast("int"))).alias("pos", "shingle"))
+    entries = entries.select("shingle", "set", F.when(F.col("pos") < F.col("first"), n).otherwise(-n).alias("n"))  # a size below 0: not in the first block
+    lists = entries.groupBy("shingle").agg(F.count("*").alias("held"), F.max("n").alias("front")).filter("held > 1 and front > 0").select("shingle", "held")
     held = keep(entries.join(lists, "shingle"), "entries")
     few = held.filter(F.col("held") <= FREQUENT)
-    one, two = few.select("shingle", *[F.col(c).alias(f"{c}1") for c in ("set", "n", "front")]), few.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("set", "n", "front")])
-    fits = (F.col("set1") < F.col("set2")) & (F.col("front1") | F.col("front2")) & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
+    one, two = few.select("shingle", F.col("set").alias("set1"), F.col("n").alias("n1")), few.select("shingle", F.col("set").alias("set2"), F.col("n").alias("n2"))
+    size1, size2 = F.abs("n1"), F.abs("n2")
+    fits = (F.col("set1") < F.col("set2")) & ((F.col("n1") > 0) | (F.col("n2") > 0)) & (100 * F.least(size1, size2) >= percent * F.greatest(size1, size2))
     pairs = keep(one.join(two, one["shingle"].eqNullSafe(two["shingle"]) & fits).select("set1", "set2").distinct(), "pairs")
     side = lambda i: sets.select(F.col("set").alias(f"set{i}"), F.col("prefix").alias(f"prefix{i}"), width.alias(f"width{i}"))
+    wanted = if_small(keep(pairs.select(F.explode(F.array("set1", "set2")).alias("set")).distinct(), "wanted"), ROW_BYTES)
+    sets = sets.join(wanted, "set", "left_semi")
     close = pairs.join(side(1), "set1").join(side(2), "set2").filter(F.size(F.array_intersect("prefix1", "prefix2")) >= F.least("width1", "width2")).select("set1", "set2")
-    many = held.filter(F.col("held") > FREQUENT).select("set", "shingle", "front", F.explode(F.array("k", F.col("k") + 1)).alias("g"))
-    heads = many.groupBy("shingle", "g").agg(F.min("set").alias("least"), F.bool_or("front").alias("any_front"), F.count("*").alias("held")).filter("held > 1 and any_front")
+    k = F.floor(F.log(F.abs("n")) / base).cast("int")
+    many = held.filter(F.col("held") > FREQUENT).select("set", "shingle", "n", F.explode(F.array(k, k + 1)).alias("g"))
+    heads = many.groupBy("shingle", "g").agg(F.min("set").alias("least"), F.max("n").alias("front"), F.count("*").alias("held")).filter("held > 1 and front > 0")
     stars = many.join(heads.select("shingle", "g", "least"), ["shingle", "g"]).select("set", "least")
-    return components(close.union(stars)).select(F.col("node").alias("set"), F.col("component").alias("family"))
+    families = keep(components(close.union(stars)).select(F.col("node").alias("set"), F.col("component").alias("family")), "families")
+    for done in (held, pairs):
+        forget(done)
+    return families
 
 
 def _tasks(members: DataFrame) -> DataFrame:
@@ -213,19 +221,26 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     with small_batches(spark):
-        sizes = keep(_sizes(texts, words, percent), "sizes")
-        bitmap = spark.sparkContext.broadcast(_frequent(sizes))
+        pooled = keep(_sizes(texts, words, percent), "sizes")
+        bitmap = spark.sparkContext.broadcast(_frequent(pooled))
+        sizes = keep(pooled.drop("pool"), "sizes")
+        forget(pooled)
         real = sizes.filter("doc_id is not null and n > 0")
         classes = keep(real.groupBy("digest").agg(F.min("doc_id").alias("set"), F.count("*").alias("weight"), F.first("n").alias("n")), "classes")
-        prefixes = _prefixes(texts, words, percent, bitmap).filter("doc_id is not null and size(prefix) > 0").groupBy("digest").agg(F.first("prefix").alias("prefix"))
-        families = keep(_families(keep(classes.join(prefixes, "digest"), "sets"), percent), "families")
+        copies = keep(real.select("doc_id").join(classes.select("set"), F.col("doc_id") == F.col("set"), "left_anti").distinct(), "copies")
+        named = texts.filter("doc_id is not null")
+        if copies.count() * ROW_BYTES <= BROADCAST_BYTES:
+            prefixes = _prefixes(named.join(F.broadcast(copies), "doc_id", "left_anti"), words, percent, bitmap)
+        else:  # their prefixes are shuffled to them rather than their texts
+            prefixes = _prefixes(named, words, percent, bitmap).join(copies, F.col("set") == F.col("doc_id"), "left_anti")
+        sets = keep(prefixes.filter("n > 0"), "sets")
+        families = _families(sets, percent)
+        forget(sets)
         base = math.log(100 / percent) * (1 + 1e-9)
         member = classes.join(families, "set").select("set", "weight", "family", "n", F.floor(F.log("n") / base).cast("int").alias("k"))
         member = keep(member, "members")
         tasks = keep(_tasks(member), "tasks")
-        need = tasks.select("set").distinct()
-        if member.count() * ROW_BYTES <= BROADCAST_BYTES:
-            need = F.broadcast(need)
+        need = if_small(keep(tasks.select("set").distinct(), "needed"), ROW_BYTES)
         held = texts.join(need, F.col("doc_id") == F.col("set"), "left_semi")
         out = keep(_run(_dealt(held, tasks, words), docs.schema[id_col].dataType, percent), "links")
         joined = keep(components(out.filter("set <> root").select("set", "root")), "components")
@@ -288,4 +303,5 @@ def _run(dealt: DataFrame, id_type: T.DataType, percent: int) -> DataFrame:
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """The documents that stay when one of each component does (the smallest id), their columns unchanged; a null id stays."""
     gone = similar_sets(docs, id_col, text_col, words, percent).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
+    gone = if_small(keep(gone, "gone"), ROW_BYTES)
     return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")

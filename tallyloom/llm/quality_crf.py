@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import by_hash_mod, keep, small_batches, words_of
+from tallyloom.llm.common import by_hash_mod, if_small, keep, small_batches, words_of
 
 #: Bytes by kind: capitals, small letters and all beyond ASCII, digits, sentence marks, other marks, white space.
 CLASSES = np.full(256, 4, np.uint8)
@@ -219,4 +219,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents whose predicted quality is 1, their columns unchanged."""
     bad = score_quality(docs, labels, id_col, text_col, **options).filter("predicted = 0").select(F.col(id_col).alias("_bad")).distinct()
+    bad = if_small(keep(bad, "bad"), 64)
     return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
