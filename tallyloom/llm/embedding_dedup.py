@@ -87,8 +87,11 @@ class Quantiser:
         return np.sqrt(out)
 
 
-def _matched(model: Quantiser, which: int, members: list[tuple], queries: list[tuple], cosine: float, radius: float) -> tuple[list[int], list[int]]:
-    """For each query the number of members of cosine or more, itself apart; and the group of each member, then query, by place.
+def _matched(model: Quantiser, which: int, members: list[tuple], queries: list[tuple], cosine: float, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each member, then query, and the group of each, by place: pairs of cosine or more, a vector and itself apart.
+
+    A query of the list itself meets its members from both sides, so its pairs count for the
+    query alone; one of another list is met here only, and its pairs count for both.
 
     A distance to a reconstruction is off by at most the member's reconstruction error, so
     that no pair within the radius is missed; all others are left to the exact cosine.
@@ -98,7 +101,7 @@ def _matched(model: Quantiser, which: int, members: list[tuple], queries: list[t
     place = {}
     for i, m in enumerate(members):
         place.setdefault(m[0], []).append(i)
-    group, counts = np.arange(len(members) + len(queries)), []
+    group, links, own = np.arange(len(members) + len(queries)), np.zeros(len(members) + len(queries), np.int64), np.array([m[4] for m in queries])
     for i, row in enumerate(queries):  # a query that is also a member is one node
         if row[0] in place:
             group[len(members) + i] = group[place[row[0]][0]]
@@ -111,20 +114,22 @@ def _matched(model: Quantiser, which: int, members: list[tuple], queries: list[t
         for i in range(len(part)):
             hits[i, place.get(queries[at + i][0], [])] = False
             found = np.flatnonzero(hits[i])
-            counts.append(len(found))
+            links[len(members) + at + i] = len(found)
             if len(found):
+                if not own[at + i]:
+                    links[found] += 1
                 joined = np.unique(np.append(group[found], group[len(members) + at + i]))
                 if len(joined) > 1:
                     group[np.isin(group, joined)] = joined[0]
-    return counts, group
+    return links, group
 
 
 def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.98, lists: int | None = None, seed: int = 3) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept. All pairs of one label with at least this cosine link, no others.
 
     The quantiser is fitted on a sample of at most SAMPLE_FLOATS numbers, chosen by hash;
-    every vector is coded, put in its list, and sent as a query to all lists that may hold a
-    vector near enough. A task takes up to BLOCK members and BLOCK queries of a list, so that
+    every vector is coded, put in its list, and sent as a query to its own list and all earlier
+    ones that may hold a vector near enough; later ones send theirs here. A task takes up to BLOCK members and BLOCK queries of a list, so that
     a list of any size is spread over pairs of blocks; it reports counts and one edge a query.
 
     Vectors that are null, zero, or hold null or non-finite numbers, those of null label or
@@ -142,7 +147,7 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     ids = vectors.select(F.col(id_col).alias("id"))
     if not n:
         return ids.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    lists = lists or max(1, min(4096, math.isqrt(n)))
+    lists = lists or max(1, min(4096, math.isqrt(n) // 4))
     sample = good.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(max(256, min(64 * lists, SAMPLE_FLOATS // width))).select("v").collect()
 
     def unit(values: list[list[float]]) -> np.ndarray:
@@ -155,7 +160,7 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     shared, radius = spark.sparkContext.broadcast(Quantiser.fit(unit([r[0] for r in sample]), lists, seed=seed)), math.sqrt(2 - 2 * cosine)
     schema = T.StructType([
         T.StructField("id", id_type), T.StructField("label", T.StringType()), T.StructField("width", T.IntegerType()), T.StructField("list", T.IntegerType()),
-        T.StructField("query", T.BooleanType()), T.StructField("v", T.BinaryType()), T.StructField("codes", T.BinaryType()), T.StructField("off", T.DoubleType()),
+        T.StructField("query", T.BooleanType()), T.StructField("v", T.BinaryType()), T.StructField("codes", T.BinaryType()), T.StructField("off", T.DoubleType()), T.StructField("own", T.BooleanType()),
     ])
     arrow = to_arrow_schema(schema)
 
@@ -168,8 +173,9 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             x = unit(values)
             near, probes = model.probes(x, radius)
             codes, off = model.encode(x, near)
-            out = [(names[i], labels[i], len(values[i]), int(near[i]), False, x[i].tobytes(), codes[i].tobytes(), float(off[i])) for i in range(len(x))]
-            out += [(names[i], labels[i], len(values[i]), int(j), True, x[i].tobytes(), None, None) for i, j in zip(*np.nonzero(probes), strict=True)]
+            out = [(names[i], labels[i], len(values[i]), int(near[i]), False, x[i].tobytes(), codes[i].tobytes(), float(off[i]), True) for i in range(len(x))]
+            earlier = probes & (np.arange(probes.shape[1])[None] <= near[:, None])  # a pair of two lists is found from the later one
+            out += [(names[i], labels[i], len(values[i]), int(j), True, x[i].tobytes(), None, None, bool(near[i] == j)) for i, j in zip(*np.nonzero(earlier), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow.types, strict=True)], schema=arrow)
 
     cell = ["label", "width", "list"]
@@ -181,7 +187,7 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         dealt = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("query"), F.col("mb")).otherwise(F.col("qb")) - 1)))
         dealt = dealt.withColumns({"m": F.when(F.col("query"), F.col("other")).otherwise(F.col("mine")), "q": F.when(F.col("query"), F.col("mine")).otherwise(F.col("other"))})
         key = [*cell, "m", "q"]
-        dealt = dealt.repartition(*key).sortWithinPartitions(*key, "query", "id").select(*key, "query", "id", "v", "codes", "off")
+        dealt = dealt.repartition(*key).sortWithinPartitions(*key, "query", "id").select(*key, "query", "id", "v", "codes", "off", "own")
         out_schema = T.StructType([T.StructField("id", id_type), T.StructField("links", T.LongType()), T.StructField("root", id_type)])
         out_arrow = to_arrow_schema(out_schema)
 
@@ -192,16 +198,13 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 for r in task:
                     parts[r[5]].append(r[6:])
                 if parts[False] and parts[True]:
-                    counts, group = _matched(shared.value, k[2], parts[False], parts[True], cosine, radius)
+                    links, group = _matched(shared.value, k[2], parts[False], parts[True], cosine, radius)
                     names = [r[0] for r in parts[False] + parts[True]]
                     least: dict[int, object] = {}
                     for name, g in zip(names, group, strict=True):
                         least[g] = min(least.get(g, name), name)
-                    m = len(parts[False])
-                    some = {i: counts[i] for i in range(len(counts)) if counts[i]}
-                    ids = [names[m + i] for i in some] + [x for x, g in zip(names[:m], group, strict=False) if least[g] != x]
-                    roots = [least[group[m + i]] for i in some] + [least[g] for x, g in zip(names[:m], group, strict=False) if least[g] != x]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, out_arrow.types[0]), pa.array([*some.values(), *[0] * (len(ids) - len(some))], pa.int64()), pa.array(roots, out_arrow.types[2])], schema=out_arrow)
+                    some = [i for i, g in enumerate(group) if links[i] or least[g] != names[i]]
+                    yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in some], out_arrow.types[0]), pa.array(links[some]), pa.array([least[group[i]] for i in some], out_arrow.types[2])], schema=out_arrow)
 
         found = keep(dealt.mapInArrow(search, out_schema), "matches")
     joined = keep(components(found.filter("id <> root").select("id", "root")), "components")
