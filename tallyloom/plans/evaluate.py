@@ -12,6 +12,11 @@ from tallyloom.plans.definition import CHILD_DEPTH, OUTSIDE, Definition, Node, p
 from tallyloom.plans.gates import SETTLED, every, selected
 
 
+#: Node types that succeed whenever they run, but for a script that can fail.
+CERTAIN = ("start", "end", "script", "condition")
+FIELDS = ("status", "skip_reason", "branch", "output", "error")
+
+
 def json_of(value: Column) -> Column:
     """A value as JSON text."""
     text = F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"})
@@ -41,37 +46,49 @@ def run_batch(definition: Definition, runs: DataFrame, children: Mapping[str, De
         raise ValueError("sub-workflows nest too deep")
     column = lambda node_id: f"{prefix}{node_id}"
     given = source if source is not None else F.col("input")
-    state: dict[str, Column] = {}
+    state: dict[str, dict[str, Column]] = {}  # of each node so far a column a field: as structs they would be inlined, level into level
+    unfoldable = F.hash(given) + F.lit(0.5) != 0  # true, but no constant: constants too are inlined, before they are folded
+    certain: set[str] = set()  # nodes that succeed in every run
     for level in definition.levels():
         plans = {}
         for node in level:
             if node.type == "sub_workflow":
                 runs = _with_child(definition, node, runs, children or {}, now_ms, column(node.id), given, state, depth)
             edges = definition.into(node.id)
+            sure = all(e.port is None and e.source in certain for e in edges)
             mode = node.params.get("join") or ("selected" if definition.semantics >= 2 else "all")
-            gate = (selected if mode == "selected" else every)(edges, state)
-            active = {e.source: F.coalesce((state[e.source]["status"] == "succeeded") & (F.lit(True) if e.port is None else state[e.source]["branch"] == F.lit(e.port == "true")), F.lit(False)) for e in edges}
+            active = {e.source: F.lit(True) if sure else F.coalesce((state[e.source]["status"] == "succeeded") & (F.lit(True) if e.port is None else state[e.source]["branch"] == F.lit(e.port == "true")), F.lit(False)) for e in edges}
             done = _outcome(node, runs, given, state, active, now_ms, column(node.id), prefix)
-            ready = gate == "ready"
-            plans[column(node.id)] = F.struct(
-                F.when(ready, done["status"]).when(gate == "blocked", "pending").otherwise("skipped").alias("status"), F.when(~ready & (gate != "blocked"), gate).alias("skip_reason"),
-                F.when(ready, done.get("branch", F.lit(None).cast("boolean"))).alias("branch"), F.when(ready & (done["status"] == "succeeded"), done["output"]).alias("output"), F.when(ready, done.get("error", F.lit(None).cast("string"))).alias("error"),
-            )
+            branch, error = done.get("branch", F.lit(None).cast("boolean")), done.get("error", F.lit(None).cast("string"))
+            if sure:
+                fields = {"status": done["status"], "skip_reason": F.lit(None).cast("string"), "branch": branch, "output": done["output"] if node.type in CERTAIN else F.when(done["status"] == "succeeded", done["output"]), "error": error}
+                if node.type in CERTAIN and "fails" not in node.params:
+                    certain.add(node.id)
+            else:
+                gate = (selected if mode == "selected" else every)(edges, state)
+                ready = (gate == "ready") & unfoldable
+                fields = {
+                    "status": F.when(ready, done["status"]).when(gate == "blocked", "pending").otherwise("skipped"), "skip_reason": F.when(~gate.isin("ready", "blocked"), gate),
+                    "branch": F.when(ready, branch), "output": F.when(ready & (done["status"] == "succeeded"), done["output"]), "error": F.when(ready, error),
+                }
+            plans |= {f"{column(node.id)}__{k}": v for k, v in fields.items()}
         runs = runs.withColumns(plans)
-        state |= {n.id: F.col(f"`{column(n.id)}`") for n in level}
-    return _settled(definition, runs, state, prefix)
+        state |= {n.id: {k: F.col(f"`{column(n.id)}__{k}`") for k in FIELDS} for n in level}
+    runs = _settled(definition, runs, state, certain)
+    nodes = {column(n.id): F.struct(*[state[n.id][k].alias(k) for k in FIELDS]) for n in definition.nodes}
+    return runs.withColumns(nodes).drop(*[f"{name}__{k}" for name in nodes for k in FIELDS])
 
 
-def _sql(text: str, node: Node, state: Mapping[str, Column], active: Mapping[str, Column], prefix: str) -> Column:
+def _sql(text: str, node: Node, state: Mapping[str, dict[str, Column]], active: Mapping[str, Column], prefix: str) -> Column:
     def of(m: re.Match) -> str:
         if m[1] not in active:
             raise ValueError(f"{node.id} reads {m[1]}, which is no direct predecessor")
-        return f"`{prefix}{m[1]}`.output"
+        return f"`{prefix}{m[1]}__output`"
 
     return F.expr(re.sub(r"\bnodes\.(\w+)", of, text))
 
 
-def _outcome(node: Node, runs: DataFrame, given: Column, state: dict[str, Column], active: dict[str, Column], now_ms: int, name: str, prefix: str) -> dict[str, Column]:
+def _outcome(node: Node, runs: DataFrame, given: Column, state: dict[str, dict[str, Column]], active: dict[str, Column], now_ms: int, name: str, prefix: str) -> dict[str, Column]:
     """status, output, and where it has them branch and error, of a node whose gate is open."""
     ok, nothing = F.lit("succeeded"), F.lit(None).cast("string")
     p = node.params
@@ -105,13 +122,13 @@ def _outcome(node: Node, runs: DataFrame, given: Column, state: dict[str, Column
     raise ValueError(f"no evaluation of {node.type}")
 
 
-def _as_text(runs: DataFrame, node: Column) -> Column:
+def _as_text(runs: DataFrame, node: dict[str, Column]) -> Column:
     """A node's output as JSON text: as it is if it is text that parses, else written as JSON."""
     kind = runs.select(node["output"].alias("v")).schema["v"].dataType.simpleString()
     return F.when(F.try_parse_json(node["output"]).isNotNull(), node["output"]).otherwise(json_of(node["output"])) if kind == "string" else json_of(node["output"])
 
 
-def _with_child(definition: Definition, node: Node, runs: DataFrame, children: Mapping[str, Definition], now_ms: int, name: str, given: Column, state: dict[str, Column], depth: int) -> DataFrame:
+def _with_child(definition: Definition, node: Node, runs: DataFrame, children: Mapping[str, Definition], now_ms: int, name: str, given: Column, state: dict[str, dict[str, Column]], depth: int) -> DataFrame:
     """The child's run evaluated in place, on the mapped input or else the parent's."""
     child = children[node.params["workflow_id"]]
     mapping = node.params.get("input_mapping")
@@ -124,14 +141,16 @@ def _with_child(definition: Definition, node: Node, runs: DataFrame, children: M
     return inside.select(*kept.values(), F.col(f"`{name}__outer`").alias("input"), result)
 
 
-def _settled(definition: Definition, runs: DataFrame, state: dict[str, Column], prefix: str) -> DataFrame:
+def _settled(definition: Definition, runs: DataFrame, state: dict[str, dict[str, Column]], certain: set[str]) -> DataFrame:
     """The run's state: open while any node is; else the first failed node in definition order fails it, else its ends make its output."""
     all_done = F.lit(True)
-    for s in state.values():
-        all_done = all_done & s["status"].isin(*SETTLED)
-    failure = F.coalesce(*[F.when(state[n.id]["status"] == "failed", F.coalesce(state[n.id]["error"], F.lit(f"{n.id} failed"))) for n in definition.nodes])
-    ends = [(n.id, (state[n.id]["status"] == "succeeded") | F.lit(definition.semantics == 1), _as_text(runs, state[n.id])) for n in definition.nodes if n.type == "end"]
-    if definition.semantics >= 2:
+    open_ = [n for n in definition.nodes if n.id not in certain]
+    for n in open_:
+        all_done = all_done & state[n.id]["status"].isin(*SETTLED)
+    failure = F.coalesce(*[F.when(state[n.id]["status"] == "failed", F.coalesce(state[n.id]["error"], F.lit(f"{n.id} failed"))) for n in open_], F.lit(None).cast("string"))
+    counted = lambda n: F.lit(True) if n.id in certain or definition.semantics == 1 else state[n.id]["status"] == "succeeded"
+    ends = [(n.id, counted(n), _as_text(runs, state[n.id])) for n in definition.nodes if n.type == "end"]
+    if definition.semantics >= 2 and not any(n.type == "end" and n.id in certain for n in definition.nodes):
         none_active = ~F.exists(F.array(*[there for _, there, _ in ends]), lambda x: x)
         failure = F.coalesce(failure, F.when(none_active, "no active end node completed"))
     output = _joined(ends)
@@ -139,5 +158,7 @@ def _settled(definition: Definition, runs: DataFrame, state: dict[str, Column],
         failure = F.coalesce(failure, F.concat(F.lit("output contract: "), violation(definition.output_schema, F.try_parse_json(F.coalesce(output, F.lit("null"))))))
     refused = F.concat(F.lit("input contract: "), violation(definition.input_schema, F.try_parse_json(json_of(F.col("input"))))) if definition.input_schema is not None else F.lit(None).cast("string")
     error = F.coalesce(refused, F.when(all_done, failure))
-    status = F.when(refused.isNotNull(), "failed").when(~all_done, "running").when(failure.isNotNull(), "failed").otherwise("succeeded")
-    return runs.withColumns({"run_status": status, "run_output": F.when(status == "succeeded", output), "run_error": error})
+    runs = runs.withColumns({"run_error": error, "_done": all_done, "_output": output})
+    status = F.when(F.col("run_error").isNotNull(), "failed").when(~F.col("_done"), "running").otherwise("succeeded")
+    runs = runs.withColumn("run_status", status)
+    return runs.withColumn("run_output", F.when(F.col("run_status") == "succeeded", F.col("_output"))).drop("_done", "_output")

@@ -8,7 +8,7 @@ from tallyloom.plans.definition import Edge
 SETTLED = ("succeeded", "skipped", "failed")
 
 
-def _parts(edge: Edge, state: dict[str, Column]) -> tuple[Column, Column, Column, Column]:
+def _parts(edge: Edge, state: dict[str, dict[str, Column]]) -> tuple[Column, Column, Column, Column]:
     """Of an edge: settled, active, skipped without harm, and bad."""
     p = state[edge.source]
     chosen = F.lit(True) if edge.port is None else F.coalesce(p["branch"] == F.lit(edge.port == "true"), F.lit(False))
@@ -16,7 +16,7 @@ def _parts(edge: Edge, state: dict[str, Column]) -> tuple[Column, Column, Column
     return p["status"].isin(*SETTLED), (p["status"] == "succeeded") & chosen, harmless, (p["status"] == "failed") | ((p["status"] == "skipped") & ~harmless)
 
 
-def selected(edges: list[Edge], state: dict[str, Column]) -> Column:
+def selected(edges: list[Edge], state: dict[str, dict[str, Column]]) -> Column:
     """ready, blocked, or the reason to skip: any predecessor open blocks, any bad one fails, none active skips."""
     if not edges:
         return F.lit("ready")
@@ -25,7 +25,7 @@ def selected(edges: list[Edge], state: dict[str, Column]) -> Column:
     return F.when(any_of(0, True), "blocked").when(any_of(3), "upstream_failed").when(~any_of(1), "inactive").otherwise("ready")
 
 
-def every(edges: list[Edge], state: dict[str, Column]) -> Column:
+def every(edges: list[Edge], state: dict[str, dict[str, Column]]) -> Column:
     """ready, blocked, or the reason to skip that the first offending edge gives, even while others are open."""
     if not edges:
         return F.lit("ready")
