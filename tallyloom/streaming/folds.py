@@ -5,6 +5,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -37,7 +38,8 @@ class RunFold(StatefulProcessor):
 
 def stream_runs(facts: DataFrame, terminal: dict[str, str]) -> DataFrame:
     """The stream of run states; needs the RocksDB state store. A run's latest row has the largest n_facts."""
-    return facts.groupBy("run_id").transformWithStateInPandas(RunFold(terminal), "run_id long, n_facts long, last_at long, status string, ended_at long", "Update", "None")
+    schema = T.StructType([facts.schema["run_id"], *[T.StructField(c, t) for c, t in (("n_facts", T.LongType()), ("last_at", T.LongType()), ("status", T.StringType()), ("ended_at", T.LongType()))]])
+    return facts.groupBy("run_id").transformWithStateInPandas(RunFold(terminal), schema, "Update", "None")
 
 
 def split_late(facts: DataFrame, seals: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -63,7 +65,8 @@ class DelayTimers(StatefulProcessor):
                 else:
                     self.waits.updateValue((int(wake),), (str(node),))
                     self.handle.registerTimer(int(wake))
-        yield pd.DataFrame(due, columns=["run_id", "node_id", "woke_ms"])
+        if due:
+            yield pd.DataFrame(due, columns=["run_id", "node_id", "woke_ms"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         wake = expiredTimerInfo.getExpiryTimeInMs()
@@ -77,7 +80,7 @@ class DelayTimers(StatefulProcessor):
 
 def fire_delays(waits: DataFrame) -> DataFrame:
     """The stream of waits (run_id, node_id, wake_ms) as they come due."""
-    return waits.groupBy("run_id").transformWithStateInPandas(DelayTimers(), "run_id long, node_id string, woke_ms long", "Update", "ProcessingTime")
+    return waits.groupBy("run_id").transformWithStateInPandas(DelayTimers(), T.StructType([waits.schema["run_id"], T.StructField("node_id", T.StringType()), T.StructField("woke_ms", T.LongType())]), "Update", "ProcessingTime")
 
 
 def one_fire_a_slot(fires: DataFrame, keys: list[str]) -> DataFrame:
