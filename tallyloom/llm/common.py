@@ -1,5 +1,6 @@
 """Helpers shared by the training-data operators: tables kept between jobs, and words of raw bytes in numpy."""
 
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -45,6 +46,12 @@ def forget(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of jobs that are over: it does once the driver collects its garbage, which may be hours away."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def if_small(df: DataFrame, row_bytes: int) -> DataFrame:
     """A kept table, to be broadcast if its rows fit in BROADCAST_BYTES; else as it is, to be shuffled."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tallyloom.llm.common import BROADCAST_BYTES, forget, if_small, keep, shingle_set, small_batches
+from tallyloom.llm.common import BROADCAST_BYTES, forget, if_small, keep, release_shuffles, shingle_set, small_batches
 from tallyloom.llm.components import components
 
 #: A shingle in more sets than this comes last in the order of shingles, so that prefixes avoid it.
@@ -111,6 +111,7 @@ def _families(sets: DataFrame, percent: int) -> DataFrame:
     entries = entries.select("shingle", "set", F.when(F.col("pos") < F.col("first"), n).otherwise(-n).alias("n"))  # a size below 0: not in the first block
     lists = entries.groupBy("shingle").agg(F.count("*").alias("held"), F.max("n").alias("front")).filter("held > 1 and front > 0").select("shingle", "held")
     held = keep(entries.join(lists, "shingle"), "entries")
+    release_shuffles(sets.sparkSession)
     few = held.filter(F.col("held") <= FREQUENT)
     one, two = few.select("shingle", F.col("set").alias("set1"), F.col("n").alias("n1")), few.select("shingle", F.col("set").alias("set2"), F.col("n").alias("n2"))
     size1, size2 = F.abs("n1"), F.abs("n2")
@@ -234,6 +235,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         else:  # their prefixes are shuffled to them rather than their texts
             prefixes = _prefixes(named, words, percent, bitmap).join(copies, F.col("set") == F.col("doc_id"), "left_anti")
         sets = keep(prefixes.filter("n > 0"), "sets")
+        release_shuffles(spark)
         families = _families(sets, percent)
         forget(sets)
         base = math.log(100 / percent) * (1 + 1e-9)
