@@ -92,6 +92,11 @@ def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     them bear ``kept`` since their id is the keeper's. An empty table gives no rows. Other
     columns are ignored, whatever their names.
     """
+    return _shape(_grouped(docs, id_col, text_col, files_per_batch, rows_per_salt), id_col)
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, files_per_batch: int = 1000, rows_per_salt: int = 500) -> DataFrame:
+    """digest, points, doc_id, group_size, keep_id, keep_points of every row, its group's texts compared."""
     spark = docs.sparkSession
     landed, state, table = (shared_path(spark, x) for x in ("digests", "dedup-state", "keepers"))
     digest_rows(docs, id_col, text_col).write.parquet(landed)
@@ -99,19 +104,22 @@ def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id_type = rows.schema["doc_id"].dataType
     stream_keepers(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_per_batch).parquet(landed), state, table)
     if not spark._jvm.org.apache.hadoop.fs.Path(table).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(table)):
-        return _shape(rows.withColumns({"group_size": F.lit(0).cast("long"), "keep_id": F.col("doc_id"), "keep_points": F.col("points")}), id_col)
+        return rows.withColumns({"group_size": F.lit(0).cast("long"), "keep_id": F.col("doc_id"), "keep_points": F.col("points")})
     groups = keep(latest_keepers(spark, table, id_type), "groups")
     joined = rows.join(groups, "digest")
     if clash := _unequal(docs, groups.filter("group_size > 1"), id_col, text_col, rows_per_salt):
         bad = spark.createDataFrame([(d,) for d in clash], "digest string")
         apart = _by_full_text(docs, bad, id_col, text_col)
         joined = joined.join(bad, "digest", "left_anti").unionByName(apart)
-    return _shape(joined, id_col)
+    return joined
+
+
+def _is_keeper() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("keep_points"))
 
 
 def _shape(rows: DataFrame, id_col: str) -> DataFrame:
-    same = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("keep_points"))
-    return rows.select(F.col("doc_id").alias(id_col), "keep_id", "group_size", same.alias("kept"), F.col("digest").alias("text_sha256"))
+    return rows.select(F.col("doc_id").alias(id_col), "keep_id", "group_size", _is_keeper().alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def _full(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -142,15 +150,18 @@ def _by_full_text(docs: DataFrame, digests: DataFrame, id_col: str, text_col: st
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that ``dedup_exact`` keeps, one row for each distinct text, their columns unchanged.
 
-    Only the dropped rows' ids and digests meet the documents, by an anti-join; rows that
-    repeat in both id and text are told apart by their place in the file only, so the few
+    Only the dropped rows' ids, code points and digests meet the documents, by an anti-join:
+    as in ``dedup_exact`` a row is told from others of its id and digest by its code points.
+    Rows that agree in all three are told apart by their place in the file only, so the few
     digests that have such rows are reduced to one row each.
     """
-    out = keep(dedup_exact(docs, id_col, text_col, **options), "dedup")
-    dropped = if_small(keep(out.filter("not kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")), "dropped"), HIT_BYTES)
-    digest = F.sha2(normalised(text_or_empty(text_col)), 256)
-    rest = docs.join(dropped, F.col(id_col).eqNullSafe(F.col("_id")) & (digest == F.col("_sha")), "left_anti")
-    twice = keep(out.filter("kept").groupBy(F.col("text_sha256").alias("_sha")).count().filter("count > 1").select("_sha"), "repeated")
+    out = keep(_grouped(docs, id_col, text_col, **options).select("doc_id", "points", "digest", _is_keeper().alias("kept")), "dedup")
+    dropped = out.filter("not kept").select(F.col("doc_id").alias("_id"), F.col("points").alias("_points"), F.col("digest").alias("_sha"))
+    dropped = if_small(keep(dropped, "dropped"), HIT_BYTES)
+    text = text_or_empty(text_col)
+    digest = F.sha2(normalised(text), 256)
+    rest = docs.join(dropped, F.col(id_col).eqNullSafe(F.col("_id")) & (digest == F.col("_sha")) & (F.length(text) == F.col("_points")), "left_anti")
+    twice = keep(out.filter("kept").groupBy(F.col("digest").alias("_sha")).count().filter("count > 1").select("_sha"), "repeated")
     if twice.isEmpty():
         return rest
     marked = rest.select(F.struct("*").alias("row"), digest.alias("_sha"))
