@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import by_hash_mod, if_small, keep, small_batches, words_of
+from tallyloom.llm.common import by_hash_mod, if_small, keep, small_batches, text_or_empty, words_of
 
 #: Bytes by kind: capitals, small letters and all beyond ASCII, digits, sentence marks, other marks, white space.
 CLASSES = np.full(256, 4, np.uint8)
@@ -19,6 +19,8 @@ CLASSES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 5
 FEATURES = 11
 #: The score that the fitted threshold is mapped to.
 CUT = 0.7
+#: Bytes that a broadcast row of a rejected text takes.
+BAD_BYTES = 112
 
 
 def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -211,13 +213,27 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     one value only all texts with a word get one score. An empty table gives no rows.
     """
     held_out = by_hash_mod(id_col) == 2
-    model = learn(docs.filter(~held_out), labels.filter(by_hash_mod(id_col) != 2), id_col, text_col, **options)
     rows = docs.select(F.col(id_col), held_out.alias("held_out"), F.col(text_col).alias("text"))
+    return _predicted(rows, _learned(docs, labels, id_col, text_col, **options))
+
+
+def _learned(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, **options) -> LineCrf:
+    """The model fitted on what is not held out."""
+    return learn(docs.filter(by_hash_mod(id_col) != 2), labels.filter(by_hash_mod(id_col) != 2), id_col, text_col, **options)
+
+
+def _predicted(rows: DataFrame, model: LineCrf) -> DataFrame:
     return with_quality(rows, model).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents whose predicted quality is 1, their columns unchanged."""
-    bad = score_quality(docs, labels, id_col, text_col, **options).filter("predicted = 0").select(F.col(id_col).alias("_bad")).distinct()
-    bad = if_small(keep(bad, "bad"), 64)
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+    """The documents whose predicted quality is 1, their columns unchanged.
+
+    Each row is judged by its own text: what is bad is named by id and SHA-256 of the text, so
+    rows that share an id, or have none, don't bear each other's score.
+    """
+    digest = F.unhex(F.sha2(text_or_empty(text_col), 256))
+    rows = docs.select(F.col(id_col).alias("_bad"), digest.alias("_sha"), F.col(text_col).alias("text"))
+    bad = _predicted(rows, _learned(docs, labels, id_col, text_col, **options)).filter("predicted = 0").select("_bad", "_sha").distinct()
+    bad = if_small(keep(bad, "bad"), BAD_BYTES)
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")) & (digest == F.col("_sha")), "left_anti")
