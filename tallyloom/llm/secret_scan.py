@@ -11,8 +11,8 @@ KINDS = {
     "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, "secret"),
     "access": (r"AKIA[A-Z0-9]+", 0, 16, "access"),
     "hex": (r"[0-9a-f]{32,}", 0, 32, "secret"),  # the runs of [0-9a-f]+ that have 32 characters
-    "weak_access": (r"""(?i:access_?key(?:_?id)?|client_?id|account|user(?:name)?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]+)""", 1, 3, "access"),
-    "weak_secret": (r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])", 0, 40, "secret"),
+    "weak_access": (r"""(?<!(?i:secret)[_\x20-]?)(?i:access_?key(?:_?id)?|client_?id|account(?:_?name)?|user(?:name)?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]+)""", 1, 3, "access"),
+    "weak_secret": (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{32,}+={0,2}+(?![A-Za-z0-9+/=_-])", 0, 32, "secret"),
     "endpoint": (r"""https?://[^\x20\x09-\x0D"'<>]+""", 0, 8, "endpoint"),
 }
 BASE = ("assign", "access", "hex")
@@ -39,9 +39,11 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Base kinds stand alone. A weak kind is reported only beside a complementary part: within
     ``reach`` characters of it and in its scope (no blank line between) there is an access
-    part for a secret, and a secret for an access part or an endpoint; it must not overlap a
-    base span. The interval join asks each candidate for the nearest end before and
-    the nearest start after it of each part, so a scope's pairs are never listed.
+    part or an endpoint for a weak secret, and a secret for an access part or an endpoint; it
+    must not overlap a base span. The value of an access part is no secret of its own, and an
+    endpoint does not hold what lies within it. The interval join asks each candidate for the
+    nearest end before and the nearest start after it of each part, so a scope's pairs are
+    never listed.
 
     Places count code points, ends are exclusive. Nulls: a null text is empty, a null id is
     kept. Rows that repeat are reported one by one; an empty table gives no rows. A very long
@@ -63,10 +65,18 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     placed = placed.withColumn("scope", F.count_if(F.col("kind") == "break").over(Window.partitionBy("row").orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, 0)))
     by_start = Window.partitionBy("row", "scope").orderBy("start", "rank", "end")
     before, after = by_start.rowsBetween(Window.unboundedPreceding, -1), by_start.rowsBetween(1, Window.unboundedFollowing)
-    near = lambda p: F.coalesce(F.col("start") - F.max(F.when(F.col("part") == p, F.col("end"))).over(before) <= reach, F.lit(False)) | F.coalesce(F.min(F.when(F.col("part") == p, F.col("start"))).over(after) - F.col("end") <= reach, F.lit(False))
-    covered = F.coalesce(F.max(F.when(F.col("base"), F.col("end"))).over(before) > F.col("start"), F.lit(False)) | F.coalesce(F.min(F.when(F.col("base"), F.col("start"))).over(after) < F.col("end"), F.lit(False))
-    linked = placed.withColumns({"secret_near": near("secret"), "access_near": near("access"), "covered": covered})
-    held = F.col("base") | ~F.col("covered") & F.when(F.col("part") == "access", F.col("secret_near")).when(F.col("part") == "secret", F.col("access_near")).otherwise(F.col("secret_near"))
+    at_most = lambda far: F.coalesce(far <= reach, F.lit(False))
+    ended, begun = lambda c: F.max(F.when(c, F.col("end"))).over(before), lambda c: F.min(F.when(c, F.col("start"))).over(after)
+    near = lambda c: at_most(F.col("start") - ended(c)) | at_most(begun(c) - F.col("end"))
+    within = lambda c: F.coalesce(ended(c) > F.col("start"), F.lit(False)) | F.coalesce(begun(c) < F.col("end"), F.lit(False))
+    access, secret, endpoint = (F.col("part") == p for p in ("access", "secret", "endpoint"))
+    placed = placed.withColumns({"taken": (F.col("kind") == "weak_secret") & within(F.col("kind") == "weak_access"), "prior": ended(endpoint)})
+    placed = placed.withColumn("part", F.when(~F.coalesce("taken", F.lit(False)), F.col("part")))
+    # Endpoints don't overlap, so of those that begin before a secret only the last can reach into it; the one before that is its ``prior``.
+    apart = F.when(ended(endpoint) <= F.col("start"), ended(endpoint)).otherwise(F.max(F.when(endpoint, F.col("prior"))).over(before))
+    endpoint_near = at_most(F.col("start") - apart) | at_most(begun(endpoint) - F.col("end"))
+    linked = placed.withColumns({"secret_near": near(secret), "access_near": near(access), "endpoint_near": endpoint_near, "covered": within(F.col("base"))})
+    held = F.col("base") | ~F.col("covered") & F.when(secret, F.col("access_near") | F.col("endpoint_near")).when(F.col("part").isNotNull(), F.col("secret_near")).otherwise(F.lit(False))
     span = F.when(held & (F.col("kind") != "break"), F.struct("start", "rank", "end", "kind"))
     return linked.groupBy("row").agg(F.first("id").alias(id_col), F.array_sort(F.collect_list(span)).alias("spans")).drop("row")
 
