@@ -24,8 +24,8 @@ TEMPLATES = {
     "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
 }
 WORDS, CONTAINED = 5, 0.8
-#: One row a band: a window three times as long as a template holding 80 % of it is at least 1/4 similar, and 1 - (3/4)**32 > 0.9999.
-BANDS, STRETCH = 32, 3
+#: One row a band. A window is up to six times as long as a template, so with 80 % of it it is at least 0.8 / 6.2 similar, and 1 - (1 - 0.8 / 6.2)**80 > 0.9999.
+BANDS, STRETCH = 80, 3
 
 
 def words(text: Column) -> Column:
