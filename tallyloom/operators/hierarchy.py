@@ -5,16 +5,19 @@ from pyspark.sql import functions as F
 
 
 def closure(edges: DataFrame, roots: DataFrame, most_deep: int = 16) -> DataFrame:
-    """(root, node, depth): all nodes reachable from each root in at most ``most_deep`` steps, at the fewest; roots at 0.
+    """(root, node, depth): all nodes reachable from each root, at the fewest steps; roots at 0.
 
     ``edges`` has parent and child, ``roots`` root. A level is one join; it ends when a level is empty.
+    Nodes further down than ``most_deep`` steps raise a ValueError: none are left out in silence.
     """
     found = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
     level = found
-    for depth in range(1, most_deep + 1):
+    for depth in range(1, most_deep + 2):
         level = level.join(edges, level["node"] == edges["parent"]).select("root", F.col("child").alias("node")).distinct()
         level = level.join(found, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth))
         if level.isEmpty():
             break
+        if depth > most_deep:
+            raise ValueError(f"nodes are more than {most_deep} steps below a root")
         found = found.unionByName(level)
     return found
