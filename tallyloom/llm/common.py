@@ -1,6 +1,5 @@
 """Helpers shared by the training-data operators: tables kept between jobs, and words of raw bytes in numpy."""
 
-import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -14,10 +13,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); where unset, as in tests, one of this machine's own."""
+    """The folder all executors share (``spark.checkpoint.dir``). Where it is unset, local mode, as in tests, gets a folder of its own; a cluster an error."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyloom-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallyloom-"))
     return context.getCheckpointDir()
 
 
@@ -25,8 +27,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Tables whose rows are counted are broadcast up to this size.
-BROADCAST_BYTES = 64 << 20
+#: Tables that were measured are broadcast up to this size; a row takes so many bytes besides its columns.
+BROADCAST_BYTES, ROW_BYTES = 64 << 20, 48
 
 
 def keep(df: DataFrame, name: str = "table") -> DataFrame:
@@ -39,22 +41,42 @@ def keep(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+def _path(spark: SparkSession, path: str):
+    out = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return out.getFileSystem(spark._jsc.hadoopConfiguration()), out
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, out = _path(spark, path)
+    return files.exists(out)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, out = _path(spark, path)
+    files.delete(out, True)
+
+
 def forget(df: DataFrame) -> None:
     """Delete what ``keep`` wrote, once nothing to come reads it."""
-    jvm, spark = df.sparkSession._jvm, df.sparkSession
-    path = jvm.org.apache.hadoop.fs.Path(df.kept_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(df.sparkSession, df.kept_at)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all tables of this session, those too that results still read: for the end of a job."""
+    delete(spark, shared_dir(spark))
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of jobs that are over: it does once the driver collects its garbage, which may be hours away."""
-    gc.collect()
-    spark._jvm.System.gc()
+def is_small(df: DataFrame) -> bool:
+    """Whether a kept table's rows, as measured, fit in BROADCAST_BYTES."""
+    measure = {"string": F.octet_length, "binary": F.octet_length, "array": lambda c: 8 * F.size(c)}
+    sized = [F.coalesce(F.sum(measure[kind](F.col(f.name))), F.lit(0)) for f in df.schema if (kind := f.dataType.typeName()) in measure]
+    rows, *more = df.agg(F.count("*"), *sized).first()
+    return rows * (ROW_BYTES + 8 * len(df.columns)) + sum(more) <= BROADCAST_BYTES
 
 
-def if_small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """A kept table, to be broadcast if its rows fit in BROADCAST_BYTES; else as it is, to be shuffled."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+def if_small(df: DataFrame) -> DataFrame:
+    """A kept table, to be broadcast if it is small; else as it is, to be shuffled."""
+    return F.broadcast(df) if is_small(df) else df
 
 
 def text_or_empty(text: str = "text") -> Column:

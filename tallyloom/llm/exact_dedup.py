@@ -8,8 +8,6 @@ from pyspark.sql import types as T
 
 from tallyloom.llm.common import if_small, keep, shared_path, text_or_empty
 
-#: Bytes that a broadcast row of a group of copies takes.
-HIT_BYTES = 160
 
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -131,7 +129,7 @@ def _full(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _unequal(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str, rows_per_salt: int) -> list[str]:
     """Digests under which two different normalised texts were found: SHA-256 collisions, so none, or a handful."""
     hits = hits.select("digest", "keep_id", "keep_points", F.ceil(F.col("group_size") / rows_per_salt).cast("int").alias("salts"))
-    hits = if_small(keep(hits, "hits"), HIT_BYTES)  # beyond its size texts are shuffled to the groups
+    hits = if_small(keep(hits, "hits"))  # beyond its size texts are shuffled to the groups
     held = _full(docs, id_col, text_col).join(hits, "digest")
     mine = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("keep_points"))
     dealt = held.filter(~mine).withColumn("salt", F.pmod(F.xxhash64("doc_id", "points"), F.col("salts")))
@@ -157,7 +155,7 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     out = keep(_grouped(docs, id_col, text_col, **options).select("doc_id", "points", "digest", _is_keeper().alias("kept")), "dedup")
     dropped = out.filter("not kept").select(F.col("doc_id").alias("_id"), F.col("points").alias("_points"), F.col("digest").alias("_sha"))
-    dropped = if_small(keep(dropped, "dropped"), HIT_BYTES)
+    dropped = if_small(keep(dropped, "dropped"))
     text = text_or_empty(text_col)
     digest = F.sha2(normalised(text), 256)
     rest = docs.join(dropped, F.col(id_col).eqNullSafe(F.col("_id")) & (digest == F.col("_sha")) & (F.length(text) == F.col("_points")), "left_anti")

@@ -6,22 +6,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tallyloom.llm.common import BROADCAST_BYTES, forget, if_small, keep, release_shuffles, shingle_set, small_batches
+from tallyloom.llm.common import forget, if_small, is_small, keep, shingle_set, small_batches
 from tallyloom.llm.components import components
 
 #: A shingle in more sets than this comes last in the order of shingles, so that prefixes avoid it.
 FREQUENT = 32
 #: Bits of the filter that names frequent shingles: 4 MB, whatever the corpus.
 FILTER_BITS = 1 << 25
+#: Longs that a set's parity map has at least; larger sets have a bit a shingle or more.
+PARITY_LONGS = 8
 #: A verifying task holds two blocks of at most about so many sets, and shingles, each.
-BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 21
-#: Bytes that a broadcast row of ids takes.
-ROW_BYTES = 64
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
+#: A list of frequent shingles' sets is joined in so many parts, so that none is one task's.
+LIST_PARTS = 32
 
 
 def _prefix(n: int, percent: int) -> int:
@@ -44,6 +46,13 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(_signed(np.concatenate(values)) if values else np.zeros(0, np.int64)))
 
 
+def _parity(shingles: np.ndarray) -> np.ndarray:
+    """Bit b tells whether an odd number of shingles have the hash b modulo the map's bits, a power of two."""
+    longs = max(PARITY_LONGS, 1 << (-(-len(shingles) // 64) - 1).bit_length()) if len(shingles) else PARITY_LONGS
+    odd = np.bincount((shingles % np.uint64(64 * longs)).astype(np.int64), minlength=64 * longs) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
 def _digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
@@ -73,23 +82,24 @@ def _frequent(sizes: DataFrame) -> bytes:
 
 
 def _prefixes(docs: DataFrame, words: int, percent: int, bitmap) -> DataFrame:
-    """set (the id), n, prefix: the set's first shingles in the order (frequent, hash), twice its prefix less one."""
+    """set (the id), n, parity, prefix: the set's first shingles in the order (frequent, hash)."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap.value, np.uint32)
         for batch in batches:
-            sizes, prefixes = [], []
+            sizes, prefixes, parity = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, words)
                 sizes.append(len(s))
+                parity.append(_parity(s))
                 if len(s):
                     place = s % np.uint64(FILTER_BITS)
                     often = (bits[place >> np.uint64(5)] >> (place & np.uint64(31)).astype(np.uint32)) & 1
-                    s = np.concatenate([s[often == 0][: (k := 2 * _prefix(len(s), percent) - 1)], s[often == 1][:k]])[:k]
+                    s = np.concatenate([s[often == 0][: (k := _prefix(len(s), percent))], s[often == 1][:k]])[:k]
                 prefixes.append(s)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), _lists(prefixes)], ["set", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), _lists(parity), _lists(prefixes)], ["set", "n", "parity", "prefix"])
 
-    schema = T.StructType([T.StructField("set", docs.schema["doc_id"].dataType), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("set", docs.schema["doc_id"].dataType), T.StructField("n", T.LongType()), T.StructField("parity", T.ArrayType(T.LongType())), T.StructField("prefix", T.ArrayType(T.LongType()))])
     return docs.mapInArrow(step, schema)
 
 
@@ -99,38 +109,54 @@ def _families(sets: DataFrame, percent: int) -> DataFrame:
     An index list falls into blocks by position: entries beyond the index prefix never match
     each other, so lists without an entry in the first block are skipped. Of a list of at most
     FREQUENT entries all pairs of fitting sizes are tried, which is at most half FREQUENT an
-    entry; a pair stays if the doubled prefixes share as many shingles as one prefix holds,
-    which any two linked sets do. Of longer lists, those of frequent shingles, only the edges
-    to the least set of two neighbouring size classes are made.
+    entry; a pair stays if the parity maps allow it. Of longer lists, those of frequent
+    shingles, only the edges to the least set of two neighbouring size classes are made.
     """
     base = math.log(100 / percent) * (1 + 1e-9)
     n = F.col("n")
     first = n - F.ceil(F.lit(2 * percent) * n / F.lit(100 + percent) - 1e-9) + 1
-    width = n - F.ceil(F.lit(percent) * n / F.lit(100) - 1e-9) + 1
-    entries = sets.select("set", "n", first.alias("first"), F.posexplode(F.slice("prefix", 1, width.cast("int"))).alias("pos", "shingle"))
+    entries = sets.select("set", "n", first.alias("first"), F.posexplode("prefix").alias("pos", "shingle"))
     entries = entries.select("shingle", "set", F.when(F.col("pos") < F.col("first"), n).otherwise(-n).alias("n"))  # a size below 0: not in the first block
     lists = entries.groupBy("shingle").agg(F.count("*").alias("held"), F.max("n").alias("front")).filter("held > 1 and front > 0").select("shingle", "held")
     held = keep(entries.join(lists, "shingle"), "entries")
-    release_shuffles(sets.sparkSession)
     few = held.filter(F.col("held") <= FREQUENT)
     one, two = few.select("shingle", F.col("set").alias("set1"), F.col("n").alias("n1")), few.select("shingle", F.col("set").alias("set2"), F.col("n").alias("n2"))
     size1, size2 = F.abs("n1"), F.abs("n2")
     fits = (F.col("set1") < F.col("set2")) & ((F.col("n1") > 0) | (F.col("n2") > 0)) & (100 * F.least(size1, size2) >= percent * F.greatest(size1, size2))
-    pairs = keep(one.join(two, one["shingle"].eqNullSafe(two["shingle"]) & fits).select("set1", "set2").distinct(), "pairs")
-    side = lambda i: sets.select(F.col("set").alias(f"set{i}"), F.col("prefix").alias(f"prefix{i}"), width.alias(f"width{i}"))
-    wanted = if_small(keep(pairs.select(F.explode(F.array("set1", "set2")).alias("set")).distinct(), "wanted"), ROW_BYTES)
-    sets = sets.join(wanted, "set", "left_semi")
-    close = pairs.join(side(1), "set1").join(side(2), "set2").filter(F.size(F.array_intersect("prefix1", "prefix2")) >= F.least("width1", "width2")).select("set1", "set2")
+    tried = keep(one.join(two, one["shingle"].eqNullSafe(two["shingle"]) & fits).select("set1", "set2").distinct(), "tried")
     k = F.floor(F.log(F.abs("n")) / base).cast("int")
     many = held.filter(F.col("held") > FREQUENT).select("set", "shingle", "n", F.explode(F.array(k, k + 1)).alias("g"))
     heads = many.groupBy("shingle", "g").agg(F.min("set").alias("least"), F.max("n").alias("front"), F.count("*").alias("held")).filter("held > 1 and front > 0")
-    stars = many.join(heads.select("shingle", "g", "least"), ["shingle", "g"]).select("set", "least")
-    families = keep(components(close.union(stars)).select(F.col("node").alias("set"), F.col("component").alias("family")), "families")
-    for done in (held, pairs):
+    heads = heads.select("shingle", "g", "least", F.explode(F.sequence(F.lit(0), F.lit(LIST_PARTS - 1))).alias("part"))
+    dealt = many.withColumn("part", F.pmod(F.xxhash64("set"), F.lit(LIST_PARTS)).cast("int"))
+    stars = dealt.join(heads, ["shingle", "g", "part"]).filter(F.col("set") != F.col("least")).select("set", "least")
+    edges = keep(_by_parity(tried, sets, percent).union(stars).distinct(), "edges")
+    for done in (held, tried):
         forget(done)
+    families = keep(components(edges).select(F.col("node").alias("set"), F.col("component").alias("family")), "families")
+    forget(edges)
     return families
 
 
+def _by_parity(tried: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that may link by their parity maps: those differ in at most as many bits as the sets do in shingles.
+
+    Linked sets of sizes a and b differ in at most (100 - percent) / (100 + percent) of a + b
+    shingles. Sizes of a tried pair differ by less than half, so one map is folded onto the
+    other's length at most once.
+    """
+    side = lambda i: sets.select(F.col("set").alias(f"set{i}"), F.col("n").alias(f"n{i}"), F.col("parity").alias(f"parity{i}"))
+    xor = lambda a, b: a.bitwiseXOR(b)
+
+    def folded(mine: str, other: str) -> Column:
+        half = (F.size(mine) / 2).cast("int")
+        return F.when(F.size(mine) > F.size(other), F.zip_with(F.slice(mine, 1, half), F.slice(mine, half + 1, half), xor)).otherwise(F.col(mine))
+
+    differ = F.aggregate(F.zip_with(folded("parity1", "parity2"), folded("parity2", "parity1"), xor), F.lit(0), lambda total, x: total + F.bit_count(x))
+    both = tried.join(side(1), "set1").join(side(2), "set2")
+    return both.filter(differ * (100 + percent) <= (F.col("n1") + F.col("n2")) * (100 - percent)).select("set1", "set2")
+
+
 def _tasks(members: DataFrame) -> DataFrame:
     """Deal each family's sets into blocks by size class, and each set to all pairs of blocks that may hold its partners."""
     units = members.groupBy("family", "k").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
@@ -147,7 +173,9 @@ def _tasks(members: DataFrame) -> DataFrame:
     above = F.transform(span("up"), lambda j: key(k, k + 1, b, j, F.lit(0)))
     below = F.transform(span("down"), lambda i: key(k - 1, k, i, b, F.lit(1)))
     own = F.when(F.col("sets") > 1, own).otherwise(F.array().cast(T.ArrayType(T.StructType([T.StructField(x, T.IntegerType()) for x in ("lo", "hi", "i", "j", "side")]))))
-    return m.select("set", "weight", "family", F.explode(F.concat(own, above, below)).alias("t")).select("set", "weight", "family", "t.*")
+    tasks = keep(m.select("set", "weight", "family", F.explode(F.concat(own, above, below)).alias("t")).select("set", "weight", "family", "t.*"), "tasks")
+    forget(units)
+    return tasks
 
 
 class _Counts:
@@ -230,21 +258,24 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         classes = keep(real.groupBy("digest").agg(F.min("doc_id").alias("set"), F.count("*").alias("weight"), F.first("n").alias("n")), "classes")
         copies = keep(real.select("doc_id").join(classes.select("set"), F.col("doc_id") == F.col("set"), "left_anti").distinct(), "copies")
         named = texts.filter("doc_id is not null")
-        if copies.count() * ROW_BYTES <= BROADCAST_BYTES:
+        if is_small(copies):
             prefixes = _prefixes(named.join(F.broadcast(copies), "doc_id", "left_anti"), words, percent, bitmap)
         else:  # their prefixes are shuffled to them rather than their texts
             prefixes = _prefixes(named, words, percent, bitmap).join(copies, F.col("set") == F.col("doc_id"), "left_anti")
         sets = keep(prefixes.filter("n > 0"), "sets")
-        release_shuffles(spark)
+        forget(copies)
         families = _families(sets, percent)
         forget(sets)
         base = math.log(100 / percent) * (1 + 1e-9)
         member = classes.join(families, "set").select("set", "weight", "family", "n", F.floor(F.log("n") / base).cast("int").alias("k"))
         member = keep(member, "members")
-        tasks = keep(_tasks(member), "tasks")
-        need = if_small(keep(tasks.select("set").distinct(), "needed"), ROW_BYTES)
-        held = texts.join(need, F.col("doc_id") == F.col("set"), "left_semi")
+        forget(families)
+        tasks = _tasks(member)
+        need = keep(tasks.select("set").distinct(), "needed")
+        held = texts.join(if_small(need), F.col("doc_id") == F.col("set"), "left_semi")
         out = keep(_run(_dealt(held, tasks, words), docs.schema[id_col].dataType, percent), "links")
+        for done in (member, tasks, need):
+            forget(done)
         joined = keep(components(out.filter("set <> root").select("set", "root")), "components")
     links = out.groupBy("set").agg(F.sum("links").alias("links"))
     known = classes.join(links, "set", "left").join(joined, F.col("set") == F.col("node"), "left")
@@ -305,5 +336,5 @@ def _run(dealt: DataFrame, id_type: T.DataType, percent: int) -> DataFrame:
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """The documents that stay when one of each component does (the smallest id), their columns unchanged; a null id stays."""
     gone = similar_sets(docs, id_col, text_col, words, percent).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    gone = if_small(keep(gone, "gone"), ROW_BYTES)
+    gone = if_small(keep(gone, "gone"))
     return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")

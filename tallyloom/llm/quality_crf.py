@@ -19,8 +19,6 @@ CLASSES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 5
 FEATURES = 11
 #: The score that the fitted threshold is mapped to.
 CUT = 0.7
-#: Bytes that a broadcast row of a rejected text takes.
-BAD_BYTES = 112
 
 
 def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -235,5 +233,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     digest = F.unhex(F.sha2(text_or_empty(text_col), 256))
     rows = docs.select(F.col(id_col).alias("_bad"), digest.alias("_sha"), F.col(text_col).alias("text"))
     bad = _predicted(rows, _learned(docs, labels, id_col, text_col, **options)).filter("predicted = 0").select("_bad", "_sha").distinct()
-    bad = if_small(keep(bad, "bad"), BAD_BYTES)
+    bad = if_small(keep(bad, "bad"))
     return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")) & (digest == F.col("_sha")), "left_anti")

@@ -16,8 +16,6 @@ from tallyloom.llm.common import if_small, keep, shared_path, small_batches
 #: Numbers of the public seekable format (fixed values): the skippable frame's, and the footer's.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Bytes that a broadcast row of a group of equal payloads takes.
-GROUP_BYTES = 120
 
 INDEX = T.StructType([
     T.StructField("record_id", T.StringType()), T.StructField("bundle", T.StringType()), T.StructField("frame", T.LongType()), T.StructField("frame_at", T.LongType()),
@@ -135,7 +133,7 @@ def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "same": F.when(F.octet_length("payload") >= revisit_from, F.sha2("payload", 256))})
     groups = keep(rows.filter("same is not null").groupBy("same").agg(F.max("id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").select("same", "first"), "payloads")
-    groups = if_small(groups, GROUP_BYTES)  # beyond its size pages are shuffled to the groups
+    groups = if_small(groups)  # beyond its size pages are shuffled to the groups
     rows = rows.join(groups, "same", "left").select("id", "url", "payload", "digest", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
     arrow = to_arrow_schema(INDEX)
 
