@@ -1,6 +1,7 @@
 """Packing tokenised documents into fixed windows: bounded-space online best fit, then a merge of what stays open."""
 
 import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -17,6 +18,8 @@ from tallyloom.llm.common import keep, text_or_empty
 
 #: The pre-tokenisation of the public byte-level BPE vocabularies (fixed value).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A run of white space of so many characters goes to tokenizers: tiktoken's pattern gives up on runs not much longer than ten times this.
+LONG_RUN = 50_000
 
 
 def default_tokenizer() -> str:
@@ -25,31 +28,43 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-@lru_cache(2)
-def encoder(path: str):
-    """A function from a text to its ids as uint32, special tokens' strings being ordinary text.
+@lru_cache(4)
+def encoder(path: str, plain: bool = False):
+    """A function from a text to its ids as uint32, those that ``tokenizers`` gives without adding special tokens.
 
+    A special token's string in a text is that token, or ordinary text if ``plain``.
     Byte-level BPE files go through tiktoken with the file's own vocabulary, whose ids are its
-    merge ranks; any other file through tokenizers itself.
+    merge ranks; any other file, and texts with a run of white space that tiktoken's pattern
+    can't step back from, through tokenizers itself.
     """
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    special = {x["id"] for x in spec.get("added_tokens", ())}
-    plain = spec["model"].get("type", "BPE") == "BPE" and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not spec["pre_tokenizer"].get("add_prefix_space") and not spec.get("normalizer")
-    if plain:
-        import tiktoken
-
-        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        shown = {b: chr(b) for b in visible} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in visible)}
-        as_byte = {c: b for b, c in shown.items()}
-        ranks = {bytes(as_byte[c] for c in word): i for word, i in spec["model"]["vocab"].items() if i not in special}
-        own = tiktoken.Encoding("own", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
-        return lambda text: own.encode_to_numpy(text, disallowed_special=())
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+    tokenizer.encode_special_tokens = plain
+    slow = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    added = spec.get("added_tokens", ())
+    special = {x["content"]: x["id"] for x in added}
+    byte_level = spec["model"].get("type", "BPE") == "BPE" and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not spec["pre_tokenizer"].get("add_prefix_space") and not spec.get("normalizer")
+    if not byte_level or any(x["single_word"] or x["lstrip"] or x["rstrip"] for x in added):
+        return slow
+    import tiktoken
+
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    shown = {b: chr(b) for b in visible} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in visible)}
+    as_byte = {c: b for b, c in shown.items()}
+    ranks = {bytes(as_byte[c] for c in word): i for word, i in spec["model"]["vocab"].items() if i not in special.values()}
+    fast = tiktoken.Encoding("own", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={} if plain else special)
+    read = {"disallowed_special": ()} if plain else {"allowed_special": "all"}
+    too_long = re.compile(rf"\s{{{LONG_RUN}}}")
+
+    def encode(text: str) -> np.ndarray:
+        if len(text) > LONG_RUN and too_long.search(text):
+            return slow(text)
+        return fast.encode_to_numpy(text, **read)
+
+    return encode
 
 
 class Windows:
@@ -132,7 +147,7 @@ def _batch(done: list[tuple], still_open: bool, with_ids: bool, schema: pa.Schem
 
 def pack_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 1,
-    size: int = 2048, open_windows: int = 64, least_cut: int = 8, merge: int = 64, with_ids: bool = True,
+    size: int = 2048, open_windows: int = 64, least_cut: int = 8, merge: int = 64, with_ids: bool = True, plain: bool = False,
 ) -> DataFrame:
     """Pieces of the documents' ids, each at its place in a sequence of at most ``size`` ids.
 
@@ -141,7 +156,8 @@ def pack_documents(
     document is its ids, then ``end_id``. Every partition packs alone in ``open_windows``
     windows; windows open at its end, a share that shrinks as partitions grow, are packed anew
     by ``merge`` partitions a task, round after round, until one task is left, which holds at
-    most ``merge * open_windows`` windows and joins what remains. Texts are never shuffled.
+    most ``merge * open_windows`` windows (32 MB of ids as set) and joins what remains. Texts
+    are never shuffled. Strings of special tokens are those tokens, or text if ``plain``.
 
     Nulls: a null text is empty, thus one id; a null document id is kept. Rows that repeat
     are packed each. A very long text is cut into full sequences as it comes. An empty table
@@ -161,7 +177,7 @@ def pack_documents(
         return level << 56 | TaskContext.get().partitionId() << 32
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, windows = encoder(path), Windows(size, open_windows, least_cut, first_sequence(0))
+        encode, windows = encoder(path, plain), Windows(size, open_windows, least_cut, first_sequence(0))
         for batch in batches:
             for doc_id, text in zip(*batch.to_pydict().values(), strict=True):
                 ids = np.append(encode(text), np.uint32(end_id))
