@@ -5,17 +5,28 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.common import forget, keep
 
+#: A node with more edges is a hub; of E edges' nodes at most 2 * E / HUB are, and so many hubs are broadcast at most.
+HUB, MOST_HUBS = 1000, 500_000
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _beside_least(rows: DataFrame, least: DataFrame, hub: int) -> DataFrame:
+    """The rows (u, v) beside u's least neighbour m. Hubs' least ones are broadcast, so no hub's rows meet in one task."""
+    hubs = F.broadcast(least.filter(F.col("n") > hub).select(F.col("u").alias("h"), F.col("m").alias("of_hub")))
+    marked = rows.join(hubs, F.col("u") == F.col("h"), "left").drop("h")
+    others = marked.filter("of_hub is null").select("u", "v").join(least.filter(F.col("n") <= hub).select("u", "m"), "u")
+    return marked.filter("of_hub is not null").select("u", "v", F.col("of_hub").alias("m")).unionByName(others)
+
+
+def _large_star(edges: DataFrame, hub: int) -> DataFrame:
     both = edges.union(edges.select("v", "u"))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
-    return both.filter("v > u").join(least.select("u", F.least("u", "m").alias("m")), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    return _beside_least(both.filter("v > u"), least, hub).select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, hub: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    return down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    return _beside_least(down, least, hub).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,7 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     ``edges`` has two columns of one orderable type; null ends, loops and repeated edges
     are of no effect. A hub is never gathered: each round takes its least neighbour by a
-    map-side minimum, and joins that back, which adaptive execution may split.
+    map-side minimum, and hubs' least neighbours, few by the bound on hubs, are broadcast.
     Rounds grow as the logarithm of the longest path, and each is kept in the shared folder.
     """
     a, b = edges.columns
@@ -32,8 +43,11 @@ def components(edges: DataFrame) -> DataFrame:
     sign = F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
     seen = now.agg(*sign).first()
     while seen[0]:
-        before, now = now, keep(_small_star(_large_star(now)).filter("u <> v").distinct(), "edges")
-        forget(before)
+        hub = max(HUB, 2 * seen[0] // MOST_HUBS)
+        large = keep(_large_star(now, hub).filter("u <> v").distinct(), "edges")
+        forget(now)
+        now = keep(_small_star(large, hub).filter("u <> v").distinct(), "edges")
+        forget(large)
         was, seen = seen, now.agg(*sign).first()
         if was == seen:
             break
