@@ -1,4 +1,4 @@
-"""The fold of runs over a stream, with state in the engine's store, late facts apart."""
+"""Folds and timers over streams: runs by the engine's own aggregates, late facts apart, waits by timers."""
 
 from collections.abc import Iterator
 
@@ -8,38 +8,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-class RunFold(StatefulProcessor):
-    """A run's state: facts seen, the last one's place, and the first terminal one. A run is reported after each batch that has facts of it."""
-
-    def __init__(self, terminal: dict[str, str]):
-        self.terminal = terminal
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("run", "n long, last long, ended long, kind string")
+from tallyloom.plans.fold import fold_runs
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n, last, ended, kind = self.state.get() if self.state.exists() else (0, -1, -1, "")
-        for part in rows:
-            n, last = n + len(part), max(last, int(part["lsn"].max()))
-            ends = part[part["kind"].isin(list(self.terminal))]
-            if len(ends):
-                first = ends.loc[ends["lsn"].idxmin()]
-                if ended < 0 or first["lsn"] < ended:
-                    ended, kind = int(first["lsn"]), first["kind"]
-        self.state.update((n, last, ended, kind))
-        yield pd.DataFrame({"run_id": [key[0]], "n_facts": [n], "last_at": [last], "status": [self.terminal.get(kind, "running")], "ended_at": pd.array([None if ended < 0 else ended], dtype="Int64")})
-
-    def close(self) -> None:
-        pass
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_runs(facts: DataFrame, terminal: dict[str, str]) -> DataFrame:
-    """The stream of run states; needs the RocksDB state store. A run's latest row has the largest n_facts."""
-    schema = T.StructType([facts.schema["run_id"], *[T.StructField(c, t) for c, t in (("n_facts", T.LongType()), ("last_at", T.LongType()), ("status", T.StringType()), ("ended_at", T.LongType()))]])
-    return facts.groupBy("run_id").transformWithStateInPandas(RunFold(terminal), schema, "Update", "None")
+    """The stream of run states: counts, maximums and the first terminal fact are sums that the state store keeps by run.
+
+    The same plan as the batch fold, so both give the same rows. A run is reported after each
+    batch that has facts of it, and its latest row has the largest n_facts.
+    """
+    return fold_runs(facts, "run_id", "lsn", terminal)
 
 
 def split_late(facts: DataFrame, seals: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -50,11 +30,14 @@ def split_late(facts: DataFrame, seals: DataFrame, keys: list[str]) -> tuple[Dat
 
 
 class DelayTimers(StatefulProcessor):
-    """Waits that fire: each row (wake_ms) sets a timer, and the timer gives the row's node back at or after its time."""
+    """Waits that fire: each row (node_id, wake_ms) sets a timer, and at its time or after all nodes of that time are given back.
+
+    A node waits once for one time; nodes of one run may share a time.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waits = handle.getMapState("waits", "wake long", "node string")
+        self.waits = handle.getMapState("waits", "wake long, node string", "known boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         now, due = timerValues.getCurrentProcessingTimeInMs(), []
@@ -63,16 +46,18 @@ class DelayTimers(StatefulProcessor):
                 if wake <= now:
                     due.append((key[0], str(node), int(wake)))
                 else:
-                    self.waits.updateValue((int(wake),), (str(node),))
+                    self.waits.updateValue((int(wake), str(node)), (True,))
                     self.handle.registerTimer(int(wake))
         if due:
             yield pd.DataFrame(due, columns=["run_id", "node_id", "woke_ms"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         wake = expiredTimerInfo.getExpiryTimeInMs()
-        node = self.waits.getValue((wake,))
-        self.waits.removeKey((wake,))
-        yield pd.DataFrame([(key[0], node[0], wake)], columns=["run_id", "node_id", "woke_ms"])
+        due = sorted(k[1] for k in self.waits.keys() if k[0] == wake)
+        for node in due:
+            self.waits.removeKey((wake, node))
+        if due:
+            yield pd.DataFrame([(key[0], node, wake) for node in due], columns=["run_id", "node_id", "woke_ms"])
 
     def close(self) -> None:
         pass
@@ -86,3 +71,24 @@ def fire_delays(waits: DataFrame) -> DataFrame:
 def one_fire_a_slot(fires: DataFrame, keys: list[str]) -> DataFrame:
     """The first fire of each slot, batch or stream; a stream keeps the slots it has seen."""
     return fires.dropDuplicates(keys)
+
+
+def subscribe_control(facts: DataFrame, terminal: tuple[str, ...], run_id, from_seq: int = 0) -> DataFrame:
+    """A run's facts after ``from_seq`` up to its first terminal fact, batch or stream; what comes after that is no control fact.
+
+    As a stream it is a filter; run it with availableNow to end once it has drained what is there.
+    """
+    return facts.filter((F.col("run_id") == run_id) & (F.col("run_seq") > from_seq)).withColumn("ends", F.col("kind").isin(*terminal))
+
+
+def subscribe_audit(facts: DataFrame, from_lsn: int = 0) -> DataFrame:
+    """Audit facts after a log position, of all runs: a filter that never ends by itself."""
+    return facts.filter((F.col("lsn") > from_lsn) & (F.col("audit_seq") > 0))
+
+
+def expire_approvals(asked: DataFrame, ttl_ms: int = 86_400_000) -> DataFrame:
+    """The stream of approvals (run_id, node_id, asked_ms) as they expire: denied, and their node failed. A time to live is 1 minute to 7 days."""
+    if not 60_000 <= ttl_ms <= 7 * 86_400_000:
+        raise ValueError("an approval lives for 1 minute to 7 days")
+    due = fire_delays(asked.withColumn("wake_ms", F.col("asked_ms") + ttl_ms).select("run_id", "node_id", "wake_ms"))
+    return due.select("run_id", "node_id", F.col("woke_ms").alias("expired_ms"), F.lit("denied").alias("decision"), F.lit("failed").alias("node_status"))
