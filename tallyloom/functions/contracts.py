@@ -14,23 +14,47 @@ KINDS = {
 MOST_DEEP = 32
 
 
+#: Reasons that a violation gives (fixed values: callers match on them).
+REFUSED, NO_TYPE, NOT_ONE_OF, MISSING, OUTSIDE = "value rejected by schema", "expected {}", "value is outside enum", "required property missing", "number outside bounds"
+#: Levels that a value may nest.
+VALUE_DEPTH = 64
+
+
 def check_schema(schema: dict, depth: int = 0) -> None:
-    """Raise ValueError for a keyword outside the subset, an unknown type, or nesting beyond 32."""
-    if depth > MOST_DEEP:
-        raise ValueError("schema nests too deep")
+    """Raise ValueError for a keyword outside the subset, one of the wrong shape, an unknown type, or nesting beyond 32."""
+
+    def must(holds: bool, what: str) -> None:
+        if not holds:
+            raise ValueError(f"bad schema: {what}")
+
+    must(depth <= MOST_DEEP, f"more than {MOST_DEEP} levels")
     if isinstance(schema, bool):
         return
-    if unknown := set(schema) - KEYWORDS:
-        raise ValueError(f"schema keywords outside the subset: {sorted(unknown)}")
-    if "type" in schema and schema["type"] not in KINDS:
-        raise ValueError(f"unknown type {schema['type']!r}")
-    for bound in ("minimum", "maximum"):
-        if bound in schema and (isinstance(schema[bound], bool) or not isinstance(schema[bound], int | float)):
-            raise ValueError(f"schema {bound} must be numeric")
+    must(isinstance(schema, dict), "neither an object nor true or false")
+    must(set(schema) <= KEYWORDS, f"keywords outside the subset, {sorted(set(schema) - KEYWORDS)}")
+    must(schema.get("type", "object") in KINDS if isinstance(schema.get("type", ""), str) else False, f"type {schema.get('type')!r}")
+    must(isinstance(schema.get("properties", {}), dict), "properties")
+    required, options = schema.get("required", []), schema.get("enum", [None])
+    must(isinstance(required, list) and all(isinstance(x, str) for x in required), "required is a list of names")
+    must(isinstance(options, list) and bool(options), "enum is a list of one value or more")
+    for name in ("minLength", "maxLength", "minItems", "maxItems"):
+        must(type(schema.get(name, 0)) is int and schema.get(name, 0) >= 0, f"{name} is a whole number from 0 on")
+    for name in ("minimum", "maximum"):
+        must(type(schema.get(name, 0)) in (int, float), f"{name} is a number")
     for inner in [*schema.get("properties", {}).values(), schema.get("items", True), schema.get("additionalProperties", True)]:
         check_schema(inner, depth + 1)
 
 
+def too_deep(json_text: Column, most: int = VALUE_DEPTH) -> Column:
+    """Whether JSON text nests more than ``most`` levels: the largest running count of brackets outside strings."""
+    bare = F.regexp_replace(F.regexp_replace(json_text, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', ""), r"[^\[\]{}]+", "")
+    step = lambda state, c: F.struct(
+        (state["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("now"), F.greatest(state["most"], state["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("most")
+    )
+    deepest = F.aggregate(F.split(bare, ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda state, c: F.when(c == "", state).otherwise(step(state, c)), lambda state: state["most"])
+    return F.coalesce(F.when(F.length(bare) > 2 * most, deepest > most), F.lit(False))
+
+
 def _number(value: Column) -> Column:
     return F.coalesce(F.try_variant_get(value, "$", "decimal(38,10)"), F.try_variant_get(value, "$", "double").try_cast("decimal(38,10)"))
 
@@ -48,19 +72,19 @@ def violation(schema: dict, value: Column) -> Column:
 def _rules(schema: dict | bool, value: Column, path: Column, depth: int) -> list[Column]:
     say = lambda broken, reason, at=path: F.when(broken, F.concat(at, F.lit(f": {reason}")))
     if schema is False:
-        return [say(value.isNotNull(), "value rejected by schema")]
+        return [say(value.isNotNull(), REFUSED)]
     if schema is True:
         return []
     kind, rules = F.schema_of_variant(value), []
     is_a = lambda name: F.coalesce(kind.rlike(KINDS[name]), F.lit(False))
     if "type" in schema:
-        rules.append(say(~is_a(schema["type"]), f"expected {schema['type']}"))
+        rules.append(say(~is_a(schema["type"]), NO_TYPE.format(schema["type"])))
     if "enum" in schema:
         wanted = [F.lit(_literal(x)) for x in schema["enum"]]
-        rules.append(say(~F.coalesce(F.to_json(value).isin(wanted), F.lit(False)), "value is outside enum"))
+        rules.append(say(~F.coalesce(F.to_json(value).isin(wanted), F.lit(False)), NOT_ONE_OF))
     fields = F.try_variant_get(value, "$", "map<string,variant>")
     for key in schema.get("required", ()):
-        rules.append(F.when(is_a("object") & ~F.coalesce(F.map_contains_key(fields, F.lit(key)), F.lit(False)), F.concat(path, F.lit(f".{key}: required property missing"))))
+        rules.append(F.when(is_a("object") & ~F.coalesce(F.map_contains_key(fields, F.lit(key)), F.lit(False)), F.concat(path, F.lit(f".{key}: {MISSING}"))))
     known = schema.get("properties", {})
     for key in sorted(known):
         inner = F.try_element_at(fields, F.lit(key))
@@ -79,7 +103,7 @@ def _rules(schema: dict | bool, value: Column, path: Column, depth: int) -> list
     rules += _bounds(schema, F.length(F.try_variant_get(value, "$", "string")), is_a("string"), "minLength", "maxLength", say)
     for bound, outside in (("minimum", lambda v, b: v < b), ("maximum", lambda v, b: v > b)):
         if bound in schema:
-            rules.append(say(is_a("number") & outside(_number(value), F.lit(Decimal(str(schema[bound]))).cast("decimal(38,10)")), "number outside bounds"))
+            rules.append(say(is_a("number") & outside(_number(value), F.lit(Decimal(str(schema[bound]))).cast("decimal(38,10)")), OUTSIDE))
     return rules
 
 

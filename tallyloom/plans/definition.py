@@ -5,13 +5,20 @@ from graphlib import CycleError, TopologicalSorter
 
 from tallyloom.functions.contracts import check_schema
 
-#: Built-in node types; those of the second group act on the outside, and are played from recorded outcomes here.
+#: Built-in node types, ids kept from nodes, parameters that must be there, and the longest id (fixed values). Types of the
+#: second group act on the outside, and are played from recorded outcomes here.
 PURE = ("start", "end", "script", "condition", "delay", "human_task", "input", "sub_workflow")
 OUTSIDE = ("http_call", "harness", "email", "llm")
 RESERVED = ("run-input", "prepared-params")
-#: Parameters that must be there, by node type.
 REQUIRED = {"script": ("code",), "condition": ("expr",), "delay": ("ms",), "http_call": ("url",), "input": ("fields",), "sub_workflow": ("workflow_id",), "harness": ("prompt",), "email": ("api_key", "from", "to", "subject", "body"), "llm": ("url", "body")}
 ID_BYTES, CHILD_DEPTH = 253, 16
+JOINS, PORTS = ("all", "selected"), ("true", "false")
+#: What a parameter of a node type must be, where it is given; text may hold a template instead of a number.
+SHAPES = {
+    "script": {"code": str, "timeout_ms": int}, "condition": {"expr": str, "timeout_ms": int}, "delay": {"ms": int}, "http_call": {"url": str, "method": str, "headers": dict},
+    "input": {"fields": list}, "sub_workflow": {"workflow_id": str, "input_mapping": dict}, "harness": {"prompt": str}, "email": {"from": str, "subject": str}, "llm": {"url": str, "response_schema": dict},
+}
+RETRY_MOST = 100
 
 
 @dataclass(frozen=True)
@@ -58,6 +65,12 @@ def parse(spec: dict) -> Definition:
     return Definition(nodes, edges, spec.get("semantics", 2), spec.get("input_schema"), spec.get("output_schema"))
 
 
+def _fits(value, kind: type) -> bool:
+    if kind is int:
+        return type(value) is int and value >= 0 or isinstance(value, str) and "${" in value
+    return isinstance(value, kind)
+
+
 def problems(d: Definition, plugins: frozenset[str] = frozenset()) -> list[tuple[str, str]]:
     """(rule, detail) of every rule broken; none for a sound definition."""
     out: list[tuple[str, str]] = []
@@ -83,8 +96,23 @@ def problems(d: Definition, plugins: frozenset[str] = frozenset()) -> list[tuple
         for name in REQUIRED.get(n.type, ()):
             if n.params.get(name) in (None, ""):
                 say("param", f"{n.id}.{name}")
-        if n.type == "delay" and "ms" in n.params and not (isinstance(n.params["ms"], int) and n.params["ms"] >= 0 or "${" in str(n.params["ms"])):
-            say("param", f"{n.id}.ms")
+        for name, kind in SHAPES.get(n.type, {}).items():
+            if n.params.get(name) not in (None, "") and not _fits(n.params[name], kind):
+                say("param", f"{n.id}.{name}")
+        if n.type == "input" and isinstance(n.params.get("fields"), list):
+            keys = [f.get("key") if isinstance(f, dict) else None for f in n.params["fields"]]
+            if not all(isinstance(k, str) and k for k in keys) or len(set(keys)) < len(keys):
+                say("param", f"{n.id}.fields")
+        if n.type == "llm" and isinstance(n.params.get("response_schema"), dict):
+            try:
+                check_schema(n.params["response_schema"])
+            except ValueError as error:
+                say("response_schema", f"{n.id}: {error}")
+        retry = n.params.get("retry", {})
+        if not isinstance(retry, dict) or any(type(retry.get(k, 1)) is not int or retry.get(k, 1) < 0 for k in ("max_attempts", "backoff_ms")):
+            say("param", f"{n.id}.retry")
+        if n.params.get("join") is not None and n.params["join"] not in JOINS:
+            say("join", f"{n.id}: {n.params['join']}")
     drawn: set[tuple] = set()
     for e in d.edges:
         name = f"{e.source}->{e.target}"
@@ -96,8 +124,10 @@ def problems(d: Definition, plugins: frozenset[str] = frozenset()) -> list[tuple
         if (e.source, e.target, e.port) in drawn:
             say("edge_twice", name)
         drawn.add((e.source, e.target, e.port))
-        if e.port is not None and (kinds[e.source] != "condition" or e.port not in ("true", "false")):
+        if kinds[e.source] in PURE + OUTSIDE and (e.port in PORTS) != (kinds[e.source] == "condition") or e.port is not None and e.port not in PORTS:
             say("port", f"{name}:{e.port}")
+        if d.semantics == 1 and kinds[e.source] == "condition" and sum(o.source == e.source and o.target == e.target for o in d.edges) > 1:
+            say("two_ports", name)
         if kinds[e.target] == "start":
             say("into_start", name)
         if kinds[e.source] == "end":
