@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 #: Lower and upper bounds of second, minute, hour, day of month, month, day of week (fixed values; Sunday is 0, and 7).
 BOUNDS = ((0, 59), (0, 59), (0, 23), (1, 31), (1, 12), (0, 7))
+#: Days after which any spec that has a day at all has had one: eight years, for 29 February beside a century's end; with a day of the week, the calendar's 28 years and a century's end.
+DAYS, WEEK_DAYS = 8 * 366, 40 * 366
 
 
 def _field(text: str, low: int, high: int) -> list[int]:
@@ -29,27 +31,55 @@ def parse(spec: str) -> list[list[int]]:
     return [_field(x, *b) for x, b in zip(fields, BOUNDS, strict=True)]
 
 
-def previous_slot(spec: str, at: Column, days: int = 400) -> Column:
-    """The latest slot at or before ``at`` (TIMESTAMP_NTZ), null if none lies within ``days`` days.
+def _latest(values: list[int], upto: Column) -> Column:
+    """The largest of a field's values up to a number, null if there is none: one look-up."""
+    table = [max((v for v in values if v <= n), default=None) for n in range(max(values) + 1)]
+    return F.get(F.array(*[F.lit(x).cast("int") for x in table]), F.least(upto, F.lit(max(values))))
 
-    Days are tried backwards; on the day of ``at`` only times up to it count, on earlier ones
-    the day's last slot is taken. Day of month and day of week both apply, by either where
+
+def previous_slot(spec: str, at: Column, days: int | None = None) -> Column:
+    """The latest slot at or before ``at`` (TIMESTAMP_NTZ), null if none lies within ``days`` days, or without it ever.
+
+    On the day of ``at`` the latest time is found field by field, hour, then minute, then
+    second; on earlier days it is the last of each. Where day of month or day of week is
+    limited, days are tried backwards until the first that fits. Both apply, by either where
     both are limited.
     """
     seconds, minutes, hours, month_days, months, week_days = parse(spec)
     week = sorted({d % 7 for d in week_days})
-    if len(hours) * len(minutes) * len(seconds) > 1500:
-        raise ValueError(f"{spec!r} has over 1,500 slots a day")
-    times = [h * 3600 + m * 60 + s for h in hours for m in minutes for s in seconds]
+    any_day = len(month_days) == 31 and len(week) == 7 and len(months) == 12
+    if days is None:
+        days = 1 if any_day else WEEK_DAYS if len(week) < 7 and len(month_days) < 31 else DAYS
 
     def fits(day: Column) -> Column:
+        if any_day:
+            return day.isNotNull()
         dom, dow = F.dayofmonth(day).isin(month_days), (F.dayofweek(day) - 1).isin(week)
         return F.month(day).isin(months) & (dom | dow if len(month_days) < 31 and len(week) < 7 else dom & dow)
 
     def slot(day: Column, second: Column) -> Column:
         return day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), second)
 
-    today, clock = F.to_date(at), F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
-    started = F.array_max(F.filter(F.lit(times), lambda t: t <= clock))
-    back = F.get(F.filter(F.sequence(F.lit(1), F.lit(days)), lambda d: fits(F.date_sub(today, d))), F.lit(0))
-    return F.when(fits(today) & started.isNotNull(), slot(today, started)).when(back.isNotNull(), slot(F.date_sub(today, back), F.lit(max(times))))
+    h, m, s = F.hour(at), F.minute(at), F.second(at)
+    last_m, last_s = max(minutes), max(seconds)
+    in_minute, in_hour = _latest(seconds, s), _latest(minutes, m - 1)
+    within = F.when(h.isin(hours) & m.isin(minutes) & in_minute.isNotNull(), h * 3600 + m * 60 + in_minute).when(h.isin(hours) & in_hour.isNotNull(), h * 3600 + in_hour * 60 + last_s)
+    started = F.coalesce(within, _latest(hours, h - 1) * 3600 + last_m * 60 + last_s)
+    today, last = F.to_date(at), F.lit(max(hours) * 3600 + last_m * 60 + last_s)
+    same_day = F.when(fits(today) & started.isNotNull(), slot(today, started))
+    if any_day:
+        return F.coalesce(same_day, slot(F.date_sub(today, 1), last))
+    near = min(days, 31)
+    step = lambda d: F.when(fits(F.date_sub(today, d)), d)
+    back = F.coalesce(*[step(F.lit(d)) for d in range(1, min(8, days + 1))])
+    if days > 7:  # beyond a week few rows have to look
+        back = F.coalesce(back, F.get(F.filter(F.sequence(F.lit(8), F.lit(max(8, near))), lambda d: fits(F.date_sub(today, d))), F.lit(0)))
+    if days > 31:
+        back = F.coalesce(back, F.get(F.filter(F.sequence(F.lit(32), F.lit(days)), lambda d: fits(F.date_sub(today, d))), F.lit(0)))
+    return F.coalesce(same_day, F.when(back.isNotNull() & (back <= days), slot(F.date_sub(today, back), last)))
+
+
+def due_slot(spec: str, now: Column, active_since: Column, last_fired: Column) -> Column:
+    """The slot a schedule fires now: the latest one, not before it became active nor at or before the last one fired; slots missed are not made up for."""
+    slot = previous_slot(spec, now)
+    return F.when((slot >= active_since) & (last_fired.isNull() | (slot > last_fired)), slot)

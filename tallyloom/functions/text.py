@@ -26,8 +26,12 @@ def redact_url(url: Column) -> Column:
 
 
 def redact_json_text(text: Column) -> Column:
-    """JSON text with the scalar values of sensitive keys masked at any depth; other text is unchanged."""
-    return F.regexp_replace(text, rf"""(?i)("[^"]*({"|".join(SENSITIVE)})[^"]*"\s*:\s*)("(?:[^"\\]|\\.)*"|[-+0-9.eE]+|true|false|null)""", f'$1"{MASK}"')
+    """JSON text with the scalar values of sensitive keys masked at any depth; other text is unchanged.
+
+    The pattern steps over strings without going back, so a value's length costs no stack.
+    """
+    string = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+    return F.regexp_replace(text, rf'(?i)("[^"]*({"|".join(SENSITIVE)})[^"]*+"\s*+:\s*+)({string}|[-+0-9.eE]+|true|false|null)', f'$1"{MASK}"')
 
 
 def html_to_text(html: Column) -> Column:
@@ -93,11 +97,12 @@ def url_prefix_matches(prefix: Column, url: Column) -> Column:
     return F.coalesce(same & below, F.lit(False))
 
 
-def grep_lines(text: Column, pattern: str, ignore_case: bool = False) -> Column:
-    """(line, match) of the lines a pattern is found in, lines counted from 1."""
+def grep_lines(text: Column, pattern: str, ignore_case: bool = False, most: int | None = None) -> Column:
+    """(line, match) of the lines a pattern is found in, lines counted from 1; the first ``most``, if given."""
     wanted = ("(?i)" if ignore_case else "") + pattern
     lines = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct((i + 1).alias("line"), x.alias("match")))
-    return F.filter(lines, lambda x: x["match"].rlike(wanted))
+    found = F.filter(lines, lambda x: x["match"].rlike(wanted))
+    return found if most is None else F.slice(found, 1, most)
 
 
 def line_range(text: Column, offset: int = 1, limit: int = 2000) -> Column:

@@ -34,16 +34,62 @@ def truthy_variant(value: Column) -> Column:
 def template(text: str, columns: Mapping[str, Column]) -> Column:
     """A ``${name}`` template over columns: alone it keeps the column's type, within text it is written into it, null as 'null'.
 
-    A name without a column is null; a brace cannot be part of a name.
+    Within text a string is written as it is, a number as its digits, and an array, map or
+    struct as JSON. A name without a column is null; a brace cannot be part of a name.
     """
     whole = re.fullmatch(r"\$\{([^}]*)\}", text)
     if whole:
         return columns.get(whole[1].strip(), F.lit(None))
     parts = re.split(r"\$\{([^}]*)\}", text)
-    shown = [F.lit(x) if i % 2 == 0 else F.coalesce(columns.get(x.strip(), F.lit(None)).cast("string"), F.lit("null")) for i, x in enumerate(parts)]
+    shown = [F.lit(x) if i % 2 == 0 else F.coalesce(_shown(columns.get(x.strip(), F.lit(None))), F.lit("null")) for i, x in enumerate(parts)]
     return F.concat(*shown)
 
 
+def _shown(value: Column) -> Column:
+    """A value within text: numbers, strings and truth values as they are, all else as JSON."""
+    nested = F.typeof(value).rlike("^(array|map|struct|variant)")
+    json = F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"})
+    return F.when(value.isNotNull(), F.when(nested, F.substr(json, F.lit(6), F.length(json) - 6)).otherwise(value.cast("string")))
+
+
+def template_tree(value, columns: Mapping[str, Column], opaque: tuple[str, ...] = ()) -> Column:
+    """A parameter tree with all templates within filled in, objects as structs and arrays as arrays of JSON text; ``opaque`` names are left as they are."""
+    if isinstance(value, str):
+        return template(value, columns)
+    if isinstance(value, dict):
+        return F.struct(*[(F.lit(x) if k in opaque and isinstance(x, str) else template_tree(x, columns, opaque)).alias(k) for k, x in value.items()])
+    if isinstance(value, list):
+        return F.array(*[F.coalesce(_shown(template_tree(x, columns, opaque)), F.lit("null")) for x in value])
+    return F.lit(value)
+
+
+def node_key_path(*parts: Column) -> Column:
+    """A node's key within nested runs: the nodes of the sub-workflows on the way and itself, as a JSON array."""
+    return F.to_json(F.array(*[p.cast("string") for p in parts]))
+
+
+def config_patch(document: Column, patch: Column) -> Column:
+    """A document (a map) with the patch's keys in their new values."""
+    return F.map_concat(F.map_filter(document, lambda k, v: ~F.map_contains_key(patch, k)), patch)
+
+
+def xorshift32(seed: Column, draws: int) -> Column:
+    """The first ``draws`` numbers in [0, 1) of the 32-bit xorshift generator from a seed; a zero seed counts as 1."""
+    word = F.lit(0xFFFFFFFF)
+
+    def step(state: Column, _: Column) -> Column:
+        x = F.element_at(state, -1)
+        x = x.bitwiseXOR(F.shiftleft(x, 13).bitwiseAND(word))
+        x = x.bitwiseXOR(F.shiftrightunsigned(x, 17))
+        return F.array_append(state, x.bitwiseXOR(F.shiftleft(x, 5).bitwiseAND(word)))
+
+    first = F.when(seed.cast("long").bitwiseAND(word) == 0, F.lit(1).cast("long")).otherwise(seed.cast("long").bitwiseAND(word))
+    states = F.aggregate(F.sequence(F.lit(1), F.lit(draws)), F.array(first), step)
+    return F.transform(F.slice(states, 2, draws), lambda x: x / float(1 << 32))
+
+
+
+
 def json_or_text(body: Column) -> tuple[Column, Column]:
     """A response body as (kind, canonical text): 'json' where it parses, else 'text' and the body itself."""
     parsed = F.try_parse_json(body)
@@ -55,6 +101,14 @@ def canonical_map(values: Column) -> Column:
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(values))))
 
 
+def canonical_json(text: Column) -> Column:
+    """JSON text with the keys of every object in order, at any depth, and no white space; null where it is no JSON.
+
+    A VARIANT holds its objects' keys in order, so parsing and writing is all it takes.
+    """
+    return F.to_json(F.try_parse_json(text))
+
+
 def fingerprint(values: Column) -> Column:
     """The SHA-256 of a map's canonical text."""
     return F.sha2(canonical_map(values), 256)
