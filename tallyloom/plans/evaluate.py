@@ -1,20 +1,18 @@
-"""Evaluating a definition over many runs at once: a run is a row, a node a struct column."""
+"""Evaluating a definition over many runs at once: a run is a row, a node a few columns."""
 
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.contracts import violation
 from tallyloom.functions.values import json_or_text, template, truthy
-from tallyloom.plans.definition import CHILD_DEPTH, OUTSIDE, Definition, Node, problems
-from tallyloom.plans.gates import SETTLED, every, selected
+from tallyloom.plans.definition import CHILD_DEPTH, OUTSIDE, RETRY_MOST, Definition, Node, problems
+from tallyloom.plans.gates import FAILED, READY, SUCCEEDED, WAITING, State, active, every, reason_of, selected, status_of
 
-
-#: Node types that succeed whenever they run, but for a script that can fail.
-CERTAIN = ("start", "end", "script", "condition")
-FIELDS = ("status", "skip_reason", "branch", "output", "error")
+#: A plugin's node: from the node's parameters and its active predecessors' outputs (JSON text) to output (JSON text) and error (null if none).
+Plugin = Callable[[dict, dict[str, Column]], tuple[Column, Column]]
 
 
 def json_of(value: Column) -> Column:
@@ -23,142 +21,222 @@ def json_of(value: Column) -> Column:
     return F.substr(text, F.lit(6), F.length(text) - 6)
 
 
-def _joined(items: list[tuple[str, Column, Column]]) -> Column:
-    """(name, counted, JSON text) joined: none is null, one is itself, more are an object with names in order."""
-    one = lambda name, there, text: F.when(there, F.struct(F.lit(name).alias("name"), F.coalesce(text, F.lit("null")).alias("text")))
-    held = F.filter(F.array(*[one(*x) for x in sorted(items, key=lambda x: x[0])]), lambda x: x.isNotNull())
-    inner = F.array_join(F.transform(held, lambda x: F.concat(json_of(x["name"]), F.lit(":"), x["text"])), ",")
-    return F.when(F.size(held) == 1, F.get(held, F.lit(0))["text"]).when(F.size(held) > 1, F.concat(F.lit("{"), inner, F.lit("}")))
+def _text_of(state: State) -> Column:
+    """A node's output as JSON text."""
+    return state.output if state.is_json else json_of(state.output)
 
 
-def run_batch(definition: Definition, runs: DataFrame, children: Mapping[str, Definition] | None = None, now_ms: int = 0, prefix: str = "node_", source: Column | None = None, depth: int = 0) -> DataFrame:
+def _joined(items: list[tuple[str, Column | bool, Column]]) -> Column:
+    """(name, counted, JSON text) joined: none is null, one is itself, more are an object with names in order."""
+    items = [x for x in sorted(items, key=lambda x: x[0]) if x[1] is not False]
+    if not items:
+        return F.lit(None).cast("string")
+    texts = [F.coalesce(text, F.lit("null")) for _, _, text in items]
+    if len(items) == 1:
+        return texts[0] if items[0][1] is True else F.when(items[0][1], texts[0])
+    named = [F.concat(json_of(F.lit(name)), F.lit(":"), text) for (name, _, _), text in zip(items, texts, strict=True)]
+    if all(there is True for _, there, _ in items):
+        return F.concat(F.lit("{"), F.concat_ws(",", *named), F.lit("}"))
+    number = sum((F.lit(1) if there is True else there.cast("int") for _, there, _ in items), F.lit(0))
+    shown = F.concat_ws(",", *[x if there is True else F.when(there, x) for x, (_, there, _) in zip(named, items, strict=True)])
+    alone = F.coalesce(*[F.when(F.lit(True) if there is True else there, text) for text, (_, there, _) in zip(texts, items, strict=True)])
+    return F.when(number == 1, alone).when(number > 1, F.concat(F.lit("{"), shown, F.lit("}")))
+
+
+def run_batch(
+    definition: Definition, runs: DataFrame, children: Mapping[str, Definition] | None = None, now_ms: int = 0, prefix: str = "node_", depth: int = 0, plugins: Mapping[str, Plugin] | None = None,
+) -> DataFrame:
     """``runs`` with a struct column for each node, and run_status, run_output (JSON text) and run_error.
 
-    Columns of ``runs``: input (a struct); started_ms where delays wait; signals and recorded
-    (maps from node id to JSON text) where people and the outside world answer. Scripts and
+    Columns of ``runs``: input (a struct); started_ms where delays wait; signals, recorded and
+    statuses (maps from node id to JSON text, or a number) where people and the outside world
+    answer; attempts (a map from node id to attempts made) where nodes retry. Scripts and
     conditions are SQL over ``input.x`` and ``nodes.y``, y being direct predecessors; a script's
-    ``fails`` is SQL for an error's message, null where it succeeds. A level of the graph is
-    one projection, so a graph of pure nodes is a few projections that the optimizer joins.
+    ``fails`` is SQL for an error's message, null where it succeeds. Outputs of scripts are
+    values of SQL types; those of other nodes JSON text.
+
+    A node's state is one small number. A level of the graph is one projection, and what is
+    the same in every run is no column at all, so graphs of pure nodes are short plans.
     """
-    if broken := problems(definition):
+    if broken := problems(definition, frozenset(plugins or ())):
         raise ValueError(f"the definition breaks {broken}")
     if depth > CHILD_DEPTH:
         raise ValueError("sub-workflows nest too deep")
-    column = lambda node_id: f"{prefix}{node_id}"
-    given = source if source is not None else F.col("input")
-    state: dict[str, dict[str, Column]] = {}  # of each node so far a column a field: as structs they would be inlined, level into level
-    unfoldable = F.hash(given) + F.lit(0.5) != 0  # true, but no constant: constants too are inlined, before they are folded
-    certain: set[str] = set()  # nodes that succeed in every run
+    given, state = F.col("input"), {}
     for level in definition.levels():
-        plans = {}
+        columns = {}
         for node in level:
+            name = f"{prefix}{node.id}"
             if node.type == "sub_workflow":
-                runs = _with_child(definition, node, runs, children or {}, now_ms, column(node.id), given, state, depth)
+                runs = _with_child(definition, node, runs, children or {}, now_ms, name, state, depth, plugins)
             edges = definition.into(node.id)
-            sure = all(e.port is None and e.source in certain for e in edges)
             mode = node.params.get("join") or ("selected" if definition.semantics >= 2 else "all")
-            active = {e.source: F.lit(True) if sure else F.coalesce((state[e.source]["status"] == "succeeded") & (F.lit(True) if e.port is None else state[e.source]["branch"] == F.lit(e.port == "true")), F.lit(False)) for e in edges}
-            done = _outcome(node, runs, given, state, active, now_ms, column(node.id), prefix)
-            branch, error = done.get("branch", F.lit(None).cast("boolean")), done.get("error", F.lit(None).cast("string"))
-            if sure:
-                fields = {"status": done["status"], "skip_reason": F.lit(None).cast("string"), "branch": branch, "output": done["output"] if node.type in CERTAIN else F.when(done["status"] == "succeeded", done["output"]), "error": error}
-                if node.type in CERTAIN and "fails" not in node.params:
-                    certain.add(node.id)
-            else:
-                gate = (selected if mode == "selected" else every)(edges, state)
-                ready = (gate == "ready") & unfoldable
-                fields = {
-                    "status": F.when(ready, done["status"]).when(gate == "blocked", "pending").otherwise("skipped"), "skip_reason": F.when(~gate.isin("ready", "blocked"), gate),
-                    "branch": F.when(ready, branch), "output": F.when(ready & (done["status"] == "succeeded"), done["output"]), "error": F.when(ready, error),
-                }
-            plans |= {f"{column(node.id)}__{k}": v for k, v in fields.items()}
-        runs = runs.withColumns(plans)
-        state |= {n.id: {k: F.col(f"`{column(n.id)}__{k}`") for k in FIELDS} for n in level}
-    runs = _settled(definition, runs, state, certain)
-    nodes = {column(n.id): F.struct(*[state[n.id][k].alias(k) for k in FIELDS]) for n in definition.nodes}
-    return runs.withColumns(nodes).drop(*[f"{name}__{k}" for name in nodes for k in FIELDS])
-
-
-def _sql(text: str, node: Node, state: Mapping[str, dict[str, Column]], active: Mapping[str, Column], prefix: str) -> Column:
+            gate = (selected if mode == "selected" else every)(edges, state)
+            done = _outcome(node, runs, given, {e.source: (state[e.source], active(e, state[e.source])) for e in edges}, now_ms, name, prefix, plugins or {})
+            code = done.code if isinstance(gate, int) else F.when(gate == READY, F.lit(done.code) if isinstance(done.code, int) else done.code).otherwise(gate)
+            fields = {"code": code, "branch": done.branch, "output": done.output, "error": done.error}
+            if not (isinstance(code, int) and code == SUCCEEDED):
+                ran = F.col(f"`{name}__code`")
+                fields |= {"output": F.when(ran == SUCCEEDED, done.output), "branch": None if done.branch is None else F.when(ran == SUCCEEDED, done.branch), "error": None if done.error is None else F.when(ran == FAILED, done.error)}
+            columns[node.id] = fields, done.is_json
+        codes = {f"{prefix}{i}__code": f["code"] for i, (f, _) in columns.items() if isinstance(f["code"], Column)}
+        rest = {f"{prefix}{i}__{k}": f[k] for i, (f, _) in columns.items() for k in ("branch", "output", "error") if f[k] is not None}
+        runs = (runs.withColumns(codes) if codes else runs).withColumns(rest)
+        held = lambda i, k: F.col(f"`{prefix}{i}__{k}`")
+        state |= {
+            i: State(f["code"] if isinstance(f["code"], int) else held(i, "code"), None if f["branch"] is None else held(i, "branch"), held(i, "output"), None if f["error"] is None else held(i, "error"), is_json)
+            for i, (f, is_json) in columns.items()
+        }
+    runs = _settled(definition, runs, state)
+    none = lambda kind: F.lit(None).cast(kind)
+    nodes = {
+        f"{prefix}{i}": F.struct(
+            status_of(s.code).alias("status"), reason_of(s.code).alias("skip_reason"), (none("boolean") if s.branch is None else s.branch).alias("branch"),
+            s.output.alias("output"), (none("string") if s.error is None else s.error).alias("error"),
+        ) for i, s in state.items()
+    }
+    return runs.withColumns(nodes).drop(*[f"{name}__{k}" for name in nodes for k in ("code", "branch", "output", "error", "run")])
+
+
+def _sql(text: str, node: Node, predecessors: Mapping[str, object], prefix: str) -> Column:
     def of(m: re.Match) -> str:
-        if m[1] not in active:
+        if m[1] not in predecessors:
             raise ValueError(f"{node.id} reads {m[1]}, which is no direct predecessor")
         return f"`{prefix}{m[1]}__output`"
 
     return F.expr(re.sub(r"\bnodes\.(\w+)", of, text))
 
 
-def _outcome(node: Node, runs: DataFrame, given: Column, state: dict[str, dict[str, Column]], active: dict[str, Column], now_ms: int, name: str, prefix: str) -> dict[str, Column]:
-    """status, output, and where it has them branch and error, of a node whose gate is open."""
-    ok, nothing = F.lit("succeeded"), F.lit(None).cast("string")
-    p = node.params
-    if node.type == "start":
-        return {"status": ok, "output": json_of(given)}
-    if node.type == "end":
-        return {"status": ok, "output": _joined([(s, a, _as_text(runs, state[s])) for s, a in active.items()])}
-    if node.type in ("script", "condition"):
-        value = _sql(p["code"] if node.type == "script" else p["expr"], node, state, active, prefix)
-        if node.type == "condition":
-            kind = runs.select(value.alias("v")).schema["v"].dataType.simpleString()
-            return {"status": ok, "output": value, "branch": truthy(value, kind)}
-        error = _sql(p["fails"], node, state, active, prefix).cast("string") if "fails" in p else nothing
-        return {"status": F.when(error.isNull(), ok).otherwise("failed"), "output": value, "error": error}
-    if node.type == "delay":
+def _type(runs: DataFrame, value: Column) -> str:
+    return runs.select(value.alias("v")).schema["v"].dataType.simpleString()
+
+
+def _failing(node: Node, runs: DataFrame, error: Column, name: str) -> Column:
+    """The number of a node that may fail: waiting for its next attempt while it has any, else failed."""
+    most = min(RETRY_MOST, node.params.get("retry", {}).get("max_attempts", 1))
+    if most <= 1 or "attempts" not in runs.columns:
+        return F.when(error.isNull(), SUCCEEDED).otherwise(FAILED)
+    made = F.coalesce(F.try_element_at("attempts", F.lit(node.id)), F.lit(1))
+    return F.when(error.isNull(), SUCCEEDED).when(made < most, WAITING).otherwise(FAILED)
+
+
+def _outcome(node: Node, runs: DataFrame, given: Column, before: dict[str, tuple[State, Column | bool]], now_ms: int, name: str, prefix: str, plugins: Mapping[str, Plugin]) -> State:
+    """What a node comes to where its gate is open."""
+    p, kind = node.params, node.type
+    if kind == "start":
+        return State(SUCCEEDED, None, json_of(given), None, True)
+    if kind == "end":
+        return State(SUCCEEDED, None, _joined([(i, on, _text_of(s)) for i, (s, on) in before.items()]), None, True)
+    if kind == "condition":
+        value = _sql(p["expr"], node, before, prefix)
+        return State(SUCCEEDED, truthy(value, _type(runs, value)), value, None, False)
+    if kind == "script":
+        value, passed_on = _sql(p["code"], node, before, prefix), re.fullmatch(r"\s*nodes\.(\w+)\s*", p["code"])
+        is_json = bool(passed_on) and before[passed_on[1]][0].is_json
+        if "fails" not in p:
+            return State(SUCCEEDED, None, value, None, is_json)
+        error = _sql(p["fails"], node, before, prefix).cast("string")
+        return State(_failing(node, runs, error, name), None, value, error, is_json)
+    if kind == "delay":
         ms = F.lit(p["ms"]) if isinstance(p["ms"], int) else template(p["ms"], {f"input.{c}": given[c] for c in runs.select(given.alias("i")).schema["i"].dataType.names}).cast("long")
-        return {"status": F.when(F.col("started_ms") + ms <= now_ms, ok).otherwise("waiting"), "output": F.to_json(F.struct(ms.cast("long").alias("slept_ms")))}
-    if node.type == "human_task":
+        return State(F.when(F.col("started_ms") + ms <= now_ms, SUCCEEDED).otherwise(WAITING), None, F.to_json(F.struct(ms.cast("long").alias("slept_ms"))), None, True)
+    if kind == "human_task":
         answer = F.try_element_at("signals", F.lit(node.id))
-        return {"status": F.when(answer.isNotNull(), ok).otherwise("waiting"), "output": answer}
-    if node.type == "input":
-        values = [F.coalesce(given[f["key"]].cast("string"), F.lit(f.get("default")).cast("string")).alias(f["key"]) for f in p["fields"]]
-        missing = F.exists(F.array(*values), lambda x: x.isNull())
-        return {"status": F.when(missing, "waiting").otherwise(ok), "output": F.to_json(F.struct(*values))}
-    if node.type == "sub_workflow":
+        return State(F.when(answer.isNotNull(), SUCCEEDED).otherwise(WAITING), None, _as_json(answer), None, True)
+    if kind == "input":
+        types = {f.name: f.dataType for f in runs.select(given.alias("i")).schema["i"].dataType}
+        held = [(f["key"], given[f["key"]] if f["key"] in types else F.lit(None), f.get("default")) for f in p["fields"]]
+        missing = [value.isNull() for _, value, default in held if default is None]
+        texts = [F.concat(json_of(F.lit(key)), F.lit(":"), json_of(value) if default is None else F.when(value.isNotNull(), json_of(value)).otherwise(json_of(F.lit(default)))) for key, value, default in held]
+        output = F.concat(F.lit("{"), F.concat_ws(",", *texts), F.lit("}"))
+        some = missing[0] if missing else None
+        for more in missing[1:]:
+            some = some | more
+        return State(SUCCEEDED if some is None else F.when(some, WAITING).otherwise(SUCCEEDED), None, output, None, True)
+    if kind == "sub_workflow":
         child = F.col(f"`{name}__run`")
-        return {"status": F.when(child["status"] == "running", "waiting").otherwise(child["status"]), "output": child["output"], "error": child["error"]}
-    if node.type in OUTSIDE:
-        reply = F.try_element_at("recorded", F.lit(node.id))
-        return {"status": F.when(reply.isNull(), "failed").otherwise(ok), "output": json_or_text(reply)[1], "error": F.when(reply.isNull(), "no recorded outcome")}
-    raise ValueError(f"no evaluation of {node.type}")
-
-
-def _as_text(runs: DataFrame, node: dict[str, Column]) -> Column:
-    """A node's output as JSON text: as it is if it is text that parses, else written as JSON."""
-    kind = runs.select(node["output"].alias("v")).schema["v"].dataType.simpleString()
-    return F.when(F.try_parse_json(node["output"]).isNotNull(), node["output"]).otherwise(json_of(node["output"])) if kind == "string" else json_of(node["output"])
-
-
-def _with_child(definition: Definition, node: Node, runs: DataFrame, children: Mapping[str, Definition], now_ms: int, name: str, given: Column, state: dict[str, dict[str, Column]], depth: int) -> DataFrame:
+        return State(F.when(child["status"] == "succeeded", SUCCEEDED).when(child["status"] == "failed", FAILED).otherwise(WAITING), None, child["output"], child["error"], True)
+    if kind in OUTSIDE:
+        output, error, unknown = _played(node, runs)
+        if p.get("effect_policy") == "repeatable":
+            return State(F.when(unknown, _failing(node, runs, error, name)).when(error.isNull(), SUCCEEDED).otherwise(FAILED), None, output, error, True)
+        return State(F.when(error.isNull(), SUCCEEDED).otherwise(FAILED), None, output, error, True)
+    if kind in plugins:
+        output, error = plugins[kind](p, {i: F.when(F.lit(True) if on is True else on, _text_of(s)) for i, (s, on) in before.items()})
+        return State(F.when(error.isNull(), SUCCEEDED).otherwise(FAILED), None, output, error, True)
+    raise ValueError(f"no evaluation of {kind}")
+
+
+def _as_json(body: Column) -> Column:
+    """JSON text as it is written canonically; other text as a JSON string."""
+    shape, text = json_or_text(body)
+    return F.when(shape == "json", text).otherwise(json_of(body))
+
+
+def _played(node: Node, runs: DataFrame) -> tuple[Column, Column, Column]:
+    """Output, error and whether no outcome is known, of a node that acts on the outside, from what was recorded.
+
+    A status of 400 or more, or an exit code but 0, is a failure. A command's reply is an
+    object of exit_code, stdout and stderr, to which what stdout holds is added as result if
+    it is an object or array. A sent mail gives status and id. A model's reply must be JSON
+    that keeps the node's response_schema.
+    """
+    reply = F.try_element_at("recorded", F.lit(node.id))
+    status = F.coalesce(F.try_element_at("statuses", F.lit(node.id)).cast("int"), F.lit(200)) if "statuses" in runs.columns else F.lit(200)
+    parsed = F.try_parse_json(reply)
+    unknown = reply.isNull()
+    refused = F.when(unknown, "no recorded outcome").when(status >= 400, F.concat(F.lit("HTTP status "), status.cast("string")))
+    if node.type == "harness":
+        field = lambda name: F.get_json_object(reply, f"$.{name}")
+        code = F.coalesce(field("exit_code").try_cast("int"), F.lit(0))
+        result = F.try_parse_json(F.trim(field("stdout")))
+        whole = F.schema_of_variant(result).rlike("^(OBJECT|ARRAY)")
+        parts = [F.concat(F.lit('"exit_code":'), code.cast("string")), F.concat(F.lit('"stdout":'), json_of(field("stdout"))), F.concat(F.lit('"stderr":'), json_of(field("stderr"))), F.when(whole, F.concat(F.lit('"result":'), F.to_json(result)))]
+        error = F.when(unknown, "no recorded outcome").when(code != 0, F.concat(F.lit("exit code "), code.cast("string")))
+        return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")), error, unknown
+    if node.type == "email":
+        error = F.coalesce(refused, F.when(parsed.isNull(), "the reply is no JSON"))
+        name = F.coalesce(F.to_json(F.try_variant_get(parsed, "$.id", "variant")), F.lit("null"))
+        return F.concat(F.lit('{"status":'), status.cast("string"), F.lit(',"id":'), name, F.lit("}")), error, unknown
+    if node.type == "llm":
+        error = F.coalesce(refused, F.when(parsed.isNull(), "the reply is no JSON"))
+        if node.params.get("response_schema") is not None:
+            error = F.coalesce(error, F.concat(F.lit("response contract: "), violation(node.params["response_schema"], parsed)))
+        return F.to_json(parsed), error, unknown
+    return _as_json(reply), refused, unknown
+
+
+def _with_child(definition: Definition, node: Node, runs: DataFrame, children: Mapping[str, Definition], now_ms: int, name: str, state: dict[str, State], depth: int, plugins: Mapping[str, Plugin] | None) -> DataFrame:
     """The child's run evaluated in place, on the mapped input or else the parent's."""
-    child = children[node.params["workflow_id"]]
-    mapping = node.params.get("input_mapping")
-    inner = given
+    child, mapping, inner = children[node.params["workflow_id"]], node.params.get("input_mapping"), F.col("input")
     if mapping:
-        inner = F.struct(*[_sql(v, node, state, {e.source: F.lit(True) for e in definition.into(node.id)}, name[: -len(node.id)]).alias(k) for k, v in mapping.items()])
-    kept = {c: F.col(f"`{c}`") for c in runs.columns if c not in ("input", "run_status", "run_output", "run_error")}
-    inside = run_batch(child, runs.withColumns({f"{name}__input": inner, f"{name}__outer": F.col("input")}).withColumn("input", F.col(f"`{name}__input`")), children, now_ms, f"{name}__", None, depth + 1)
+        before = {e.source: state[e.source] for e in definition.into(node.id)}
+        inner = F.struct(*[_sql(v, node, before, name[: -len(node.id)]).alias(k) for k, v in mapping.items()])
+    outer = [c for c in runs.columns if c not in ("input", "run_status", "run_output", "run_error")]
+    inside = run_batch(child, runs.withColumns({f"{name}__outer": F.col("input"), "input": inner}), children, now_ms, f"{name}__", depth + 1, plugins)
     result = F.struct(F.col("run_status").alias("status"), F.col("run_output").alias("output"), F.col("run_error").alias("error")).alias(f"{name}__run")
-    return inside.select(*kept.values(), F.col(f"`{name}__outer`").alias("input"), result)
+    return inside.select(*[F.col(f"`{c}`") for c in outer], F.col(f"`{name}__outer`").alias("input"), result)
 
 
-def _settled(definition: Definition, runs: DataFrame, state: dict[str, dict[str, Column]], certain: set[str]) -> DataFrame:
+def _settled(definition: Definition, runs: DataFrame, state: dict[str, State]) -> DataFrame:
     """The run's state: open while any node is; else the first failed node in definition order fails it, else its ends make its output."""
-    all_done = F.lit(True)
-    open_ = [n for n in definition.nodes if n.id not in certain]
-    for n in open_:
-        all_done = all_done & state[n.id]["status"].isin(*SETTLED)
-    failure = F.coalesce(*[F.when(state[n.id]["status"] == "failed", F.coalesce(state[n.id]["error"], F.lit(f"{n.id} failed"))) for n in open_], F.lit(None).cast("string"))
-    counted = lambda n: F.lit(True) if n.id in certain or definition.semantics == 1 else state[n.id]["status"] == "succeeded"
-    ends = [(n.id, counted(n), _as_text(runs, state[n.id])) for n in definition.nodes if n.type == "end"]
-    if definition.semantics >= 2 and not any(n.type == "end" and n.id in certain for n in definition.nodes):
-        none_active = ~F.exists(F.array(*[there for _, there, _ in ends]), lambda x: x)
-        failure = F.coalesce(failure, F.when(none_active, "no active end node completed"))
-    output = _joined(ends)
+    varied = [n for n in definition.nodes if not isinstance(state[n.id].code, int)]
+    least = F.least(*[state[n.id].code for n in varied]) if len(varied) > 1 else state[varied[0].id].code if varied else F.lit(SUCCEEDED)
+    failures = [F.when(state[n.id].code == FAILED, F.coalesce(state[n.id].error, F.lit(f"{n.id} failed"))) for n in varied if state[n.id].error is not None]
+    ends = [n for n in definition.nodes if n.type == "end"]
+    there = lambda n: True if definition.semantics == 1 or isinstance(state[n.id].code, int) else state[n.id].code == SUCCEEDED
+    if definition.semantics >= 2 and all(n in varied for n in ends):
+        any_end = there(ends[0])
+        for n in ends[1:]:
+            any_end = any_end | there(n)
+        failures.append(F.when(~any_end, "no active end node completed"))
+    output = _joined([(n.id, there(n), state[n.id].output) for n in ends])
     if definition.output_schema is not None:
-        failure = F.coalesce(failure, F.concat(F.lit("output contract: "), violation(definition.output_schema, F.try_parse_json(F.coalesce(output, F.lit("null"))))))
-    refused = F.concat(F.lit("input contract: "), violation(definition.input_schema, F.try_parse_json(json_of(F.col("input"))))) if definition.input_schema is not None else F.lit(None).cast("string")
-    error = F.coalesce(refused, F.when(all_done, failure))
-    runs = runs.withColumns({"run_error": error, "_done": all_done, "_output": output})
-    status = F.when(F.col("run_error").isNotNull(), "failed").when(~F.col("_done"), "running").otherwise("succeeded")
+        failures.append(F.concat(F.lit("output contract: "), violation(definition.output_schema, F.try_parse_json(F.coalesce(output, F.lit("null"))))))
+    error = F.when(least >= SUCCEEDED, F.coalesce(*failures)) if failures else F.lit(None).cast("string")
+    if definition.input_schema is not None:
+        error = F.coalesce(F.concat(F.lit("input contract: "), violation(definition.input_schema, F.try_parse_json(json_of(F.col("input"))))), error)
+    runs = runs.withColumns({"run_error": error, "_open": least < SUCCEEDED})
+    status = F.when(F.col("run_error").isNotNull(), "failed").when(F.col("_open"), "running").otherwise("succeeded")
     runs = runs.withColumn("run_status", status)
-    return runs.withColumn("run_output", F.when(F.col("run_status") == "succeeded", F.col("_output"))).drop("_done", "_output")
+    return runs.withColumn("run_output", F.when(F.col("run_status") == "succeeded", output)).drop("_open")

@@ -1,44 +1,86 @@
-"""Whether a node may run: gates over the states of its predecessors, as columns."""
+"""Whether a node may run: gates over the states of its predecessors, as one small number a node."""
+
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyloom.plans.definition import Edge
 
-SETTLED = ("succeeded", "skipped", "failed")
+#: A node's state as a number: what is open comes first, then success, then skips without harm, skips that do harm, and failure.
+PENDING, WAITING, SUCCEEDED, INACTIVE, NOT_TAKEN, UPSTREAM_FAILED, UPSTREAM_SKIPPED, FAILED = range(8)
+#: Status and reason to skip of each number (fixed values).
+NAMES = (
+    ("pending", None), ("waiting", None), ("succeeded", None), ("skipped", "inactive"), ("skipped", "branch_not_taken"), ("skipped", "upstream_failed"), ("skipped", "upstream_skipped"), ("failed", None),
+)
+#: What a gate says instead of a skip's number.
+READY, BLOCKED = SUCCEEDED, PENDING
 
 
-def _parts(edge: Edge, state: dict[str, dict[str, Column]]) -> tuple[Column, Column, Column, Column]:
-    """Of an edge: settled, active, skipped without harm, and bad."""
-    p = state[edge.source]
-    chosen = F.lit(True) if edge.port is None else F.coalesce(p["branch"] == F.lit(edge.port == "true"), F.lit(False))
-    harmless = (p["status"] == "skipped") & F.coalesce(p["skip_reason"].isin("branch_not_taken", "inactive"), F.lit(False))
-    return p["status"].isin(*SETTLED), (p["status"] == "succeeded") & chosen, harmless, (p["status"] == "failed") | ((p["status"] == "skipped") & ~harmless)
+@dataclass(frozen=True)
+class State:
+    """A node's columns; ``code`` is a plain number where the state is the same in every run."""
 
+    code: Column | int
+    branch: Column | None
+    output: Column
+    error: Column | None
+    is_json: bool
 
-def selected(edges: list[Edge], state: dict[str, dict[str, Column]]) -> Column:
-    """ready, blocked, or the reason to skip: any predecessor open blocks, any bad one fails, none active skips."""
-    if not edges:
-        return F.lit("ready")
-    parts = [_parts(e, state) for e in edges]
-    any_of = lambda k, negate=False: _any([~x[k] if negate else x[k] for x in parts])
-    return F.when(any_of(0, True), "blocked").when(any_of(3), "upstream_failed").when(~any_of(1), "inactive").otherwise("ready")
 
+def status_of(code: Column | int) -> Column:
+    if isinstance(code, int):
+        return F.lit(NAMES[code][0])
+    return F.get(F.array(*[F.lit(status) for status, _ in NAMES]), code)
 
-def every(edges: list[Edge], state: dict[str, dict[str, Column]]) -> Column:
-    """ready, blocked, or the reason to skip that the first offending edge gives, even while others are open."""
-    if not edges:
-        return F.lit("ready")
-    reasons = []
-    for e in edges:
-        p, (_, active, _, _) = state[e.source], _parts(e, state)
-        reasons.append(F.when(p["status"] == "skipped", "upstream_skipped").when(p["status"] == "failed", "upstream_failed").when((p["status"] == "succeeded") & ~active, "branch_not_taken"))
-    open_ = _any([~_parts(e, state)[0] for e in edges])
-    return F.coalesce(*reasons, F.when(open_, "blocked"), F.lit("ready"))
+
+def reason_of(code: Column | int) -> Column:
+    if isinstance(code, int):
+        return F.lit(NAMES[code][1]).cast("string")
+    return F.get(F.array(*[F.lit(reason).cast("string") for _, reason in NAMES]), code)
+
+
+def active(edge: Edge, state: State) -> Column | bool:
+    """Whether the edge's source succeeded and chose the edge's port."""
+    chosen = True if edge.port is None else F.coalesce(state.branch == F.lit(edge.port == "true"), F.lit(False))
+    if isinstance(state.code, int):
+        return chosen if state.code == SUCCEEDED else False
+    done = state.code == SUCCEEDED
+    return done if chosen is True else done & chosen
 
 
-def _any(columns: list[Column]) -> Column:
-    out = columns[0]
-    for c in columns[1:]:
-        out = out | c
-    return out
+def _kind(edge: Edge, state: State) -> Column | int:
+    """Of an edge: 3 open, 2 bad, 1 active, 0 neither; a gate's answer is the largest."""
+    on = active(edge, state)
+    if isinstance(state.code, int) and on is True:
+        return 1
+    if isinstance(state.code, int):
+        return F.when(on, 1).otherwise(0)
+    return F.when(state.code < SUCCEEDED, 3).when(state.code >= UPSTREAM_FAILED, 2).when(on, 1).otherwise(0)
+
+
+def selected(edges: list[Edge], state: dict[str, State]) -> Column | int:
+    """READY, BLOCKED, or the skip's number: any predecessor open blocks, any bad one fails, none active skips."""
+    kinds = [_kind(e, state[e.source]) for e in edges]
+    columns = [k for k in kinds if not isinstance(k, int)]
+    if not columns:
+        return READY
+    if len(columns) < len(kinds):
+        columns.append(F.lit(1))
+    worst = columns[0] if len(columns) == 1 else F.greatest(*columns)
+    return F.get(F.array(F.lit(INACTIVE), F.lit(READY), F.lit(UPSTREAM_FAILED), F.lit(BLOCKED)), worst)
+
+
+def every(edges: list[Edge], state: dict[str, State]) -> Column | int:
+    """READY, BLOCKED, or the skip's number that the first offending edge gives, even while others are open."""
+    reasons, opens = [], []
+    for e in edges:
+        s, on = state[e.source], active(e, state[e.source])
+        if on is True:
+            continue
+        if isinstance(s.code, int):
+            reasons.append(F.when(~on, NOT_TAKEN))
+            continue
+        reasons.append(F.when((s.code > SUCCEEDED) & (s.code < FAILED), UPSTREAM_SKIPPED).when(s.code == FAILED, UPSTREAM_FAILED).when((s.code == SUCCEEDED) & ~on, NOT_TAKEN))
+        opens.append(F.when(s.code < SUCCEEDED, BLOCKED))
+    return F.coalesce(*reasons, *opens, F.lit(READY)) if reasons else READY
