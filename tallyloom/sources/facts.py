@@ -70,22 +70,24 @@ def list_files(spark: SparkSession, path: str, glob: str = "*", most: int = 2000
 
 
 def split_value(values: DataFrame, key: str, body: str, size: int) -> DataFrame:
-    """Chunks of at most ``size`` bytes of each value: key, chunk_index, chunk, its digest."""
-    raw = F.encode(F.col(body), "UTF-8")
-    n = F.greatest(F.ceil(F.octet_length(F.col(body)) / size).cast("int"), F.lit(1))
-    cut = values.select(F.col(key), raw.alias("raw"), F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_index"))
-    return cut.select(key, "chunk_index", F.expr(f"substring(raw, chunk_index * {size} + 1, {size})").alias("chunk")).withColumn("digest", F.sha2("chunk", 256))
+    """Chunks of at most ``size`` bytes of each value: key, chunk_index, chunk, its digest. Each chunk row holds its own bytes only."""
+    n = F.greatest(F.ceil(F.octet_length("_raw") / size).cast("int"), F.lit(1))
+    pieces = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring("_raw", i * size + 1, F.lit(size)))
+    cut = values.select(F.col(key), F.encode(F.col(body), "UTF-8").alias("_raw")).select(key, F.posexplode(pieces).alias("chunk_index", "chunk"))
+    return cut.withColumn("digest", F.sha2("chunk", 256))
 
 
 def join_value(chunks: DataFrame, key: str) -> DataFrame:
-    """Values from their chunks: chunk_count, total_bytes, the value's digest, and whether indexes run from 0 without a gap and digests hold."""
-    ordered = F.array_sort(F.collect_list(F.struct("chunk_index", "chunk")))
+    """Values from their chunks: chunk_count, total_bytes, the value's digest, and whether indexes run from 0 without a gap and digests hold.
+
+    Chunks are put together once, as one text of hexadecimal digits.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("chunk_index", F.hex("chunk").alias("digits"))))
     out = chunks.groupBy(key).agg(
-        ordered.alias("parts"), F.count("*").alias("chunk_count"), F.sum(F.octet_length("chunk")).cast("long").alias("total_bytes"),
+        F.unhex(F.array_join(F.transform(ordered, lambda x: x["digits"]), "")).alias("value"), F.count("*").alias("chunk_count"), F.sum(F.octet_length("chunk")).cast("long").alias("total_bytes"),
         ((F.max("chunk_index") + 1 == F.count("*")) & (F.count_distinct("chunk_index") == F.count("*")) & F.bool_and(F.sha2("chunk", 256) == F.col("digest"))).alias("whole"),
     )
-    joined = F.aggregate("parts", F.lit("").cast("binary"), lambda a, x: F.concat(a, x["chunk"]))
-    return out.select(key, "chunk_count", "total_bytes", F.sha2(joined, 256).alias("value_digest"), "whole")
+    return out.select(key, "chunk_count", "total_bytes", F.sha2("value", 256).alias("value_digest"), "whole")
 
 
 def gaps(facts: DataFrame, keys: list[str], seq: str) -> DataFrame:
