@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyloom.functions.values import chain_digest
+from tallyloom.functions.values import chain_digest, entity_digest
 
 
 def first_receipts(commands: DataFrame, keys: list[str], order: str, fingerprint: str) -> DataFrame:
@@ -22,6 +22,11 @@ def latest_state(facts: DataFrame, keys: list[str], order: str, columns: list[st
     return facts.groupBy(*keys).agg(F.max(F.struct(order, *columns)).alias("last")).select(*keys, "last.*")
 
 
+def live_state(facts: DataFrame, keys: list[str], order: str, body: str) -> DataFrame:
+    """The latest body of each key; a null one deletes the key."""
+    return latest_state(facts, keys, order, [body]).filter(F.col(body).isNotNull())
+
+
 def immutable_conflicts(facts: DataFrame, keys: list[str], body: str) -> DataFrame:
     """Keys, meant to be written once, of which two bodies exist."""
     return facts.groupBy(*keys).agg(F.count("*").alias("n_writes"), (F.min(body) != F.max(body)).alias("differs")).filter("differs")
@@ -39,6 +44,11 @@ def broken_links(chain: DataFrame, keys: list[str], order: str) -> DataFrame:
     return chain.withColumn("_before", before).filter((F.col("prev_digest") != F.col("_before")) | (F.col("link") != chain_digest(F.col("prev_digest"), F.col("digest")))).drop("_before")
 
 
+def recomputed(facts: DataFrame, digest: str, *parts: Column) -> DataFrame:
+    """Facts whose stored digest isn't that of their parts: what a transaction's read verifies."""
+    return facts.filter(~F.col(digest).eqNullSafe(entity_digest(*parts)))
+
+
 def watermark(facts: DataFrame) -> DataFrame:
     """The largest log position, the number of facts, and whether positions run from 1 without a gap or repeat."""
     return facts.agg(F.max("lsn").alias("max_lsn"), F.count("*").alias("n"), ((F.max("lsn") == F.count("*")) & (F.count_distinct("lsn") == F.count("*"))).alias("whole"))

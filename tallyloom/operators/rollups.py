@@ -39,10 +39,13 @@ def run_progress(nodes: DataFrame, ends: tuple = ()) -> DataFrame:
     return own.groupBy("run_id").agg(F.count("*").alias("total"), F.count_if(F.col("status").isin("succeeded", "failed", "skipped")).alias("done"))
 
 
-def run_elapsed(times: DataFrame, keys: list[str], started: str, ended: str) -> DataFrame:
-    """Microseconds from the first start to the last end, 0 at least, null without a start."""
+def run_elapsed(times: DataFrame, keys: list[str], started: str, ended: str, now=None) -> DataFrame:
+    """Microseconds from the first start to the last end, or to ``now`` while an end is missing; 0 at least, null without a start."""
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    return times.groupBy(*keys).agg(F.greatest(F.lit(0).cast("long"), micros(F.max(ended)) - micros(F.min(started))).alias("elapsed_us"))
+    end = micros(F.max(ended))
+    if now is not None:
+        end = F.when(F.bool_or(F.col(ended).isNull()), micros(now)).otherwise(end)
+    return times.groupBy(*keys).agg(F.greatest(F.lit(0).cast("long"), end - micros(F.min(started))).alias("elapsed_us"))
 
 
 def merge_losses(counters: DataFrame, keys: list[str], fields: list[str], flag: str) -> DataFrame:
