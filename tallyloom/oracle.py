@@ -45,7 +45,7 @@ ORACLE_SQL = {
     "q16_active_runs": f"WITH {_RUNS} SELECT run_id, workflow_id, status FROM runs WHERE status IN ('running', 'awaiting_resume') AND run_id > 500",
     "q17_public_event_projection": f"WITH {_FACTS} SELECT lsn, run_id, kind, CASE kind WHEN 'error' THEN 'EXECUTION_FAILED' WHEN 'purchase' THEN printf('%.2f', value) ELSE '' END AS shown FROM facts WHERE kind IN ('purchase', 'signup', 'error')",
     "q18_size_guard": "SELECT doc_id, sha256(CASE WHEN octet_length(encode(text)) <= 2000 THEN text ELSE 'RESPONSE_TOO_LARGE' END) AS shown FROM documents",
-    "q19_timeline_left_join": "SELECT p_partkey AS node_id, p_partkey AS ordinal, p_name AS name, n_lines, max_quantity FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n_lines, max(l_quantity) AS max_quantity FROM lineitem GROUP BY 1) ON l_partkey = p_partkey WHERE p_partkey <= 40",
+    "q19_timeline_left_join": "SELECT p_partkey AS node_id, p_partkey AS ordinal, p_name AS name, n_lines, max_quantity FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n_lines, max(l_quantity) AS max_quantity FROM lineitem GROUP BY 1) ON l_partkey = p_partkey",
     "q20_current_attempt_semi": "SELECT l_orderkey AS run_id, count(*) AS n_attempts, round(sum(l_quantity), 2) AS quantity FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') GROUP BY 1",
     "q21_run_assembly_nested": """SELECT o_orderkey AS run_id, o_custkey AS workflow_id, coalesce(nodes, '') AS nodes FROM orders LEFT JOIN (
         SELECT l_orderkey, string_agg(l_linenumber || '=' || f, ',' ORDER BY l_linenumber) AS nodes FROM (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS f FROM lineitem GROUP BY 1, 2) GROUP BY 1) ON l_orderkey = o_orderkey""",
@@ -65,7 +65,7 @@ ORACLE_SQL = {
     "q32_dag_multi_end": f"""SELECT event_id AS run_id, '{{"end_a":' || {_K} || ',"end_b":"' || event_type || '"}}' AS run_output FROM events""",
     "q33_dag_subworkflow": """SELECT o_orderkey AS run_id, c_mktsegment, 'succeeded' AS run_status, CASE WHEN o_custkey <= 500 THEN '"old"' ELSE '"new"' END AS run_output FROM orders JOIN customer ON c_custkey = o_custkey""",
     "q34_dag_input_node": """SELECT event_id AS run_id, CASE WHEN event_type = 'view' THEN 'waiting' ELSE 'succeeded' END AS ask, CASE WHEN event_type = 'view' THEN 'running' ELSE 'succeeded' END AS run_status,
-        CASE WHEN event_type <> 'view' THEN '{"k":"' || json_extract_string(props, '$.k') || '","note":"' || CASE WHEN event_type = 'click' THEN 'clicked' ELSE 'none' END || '"}' END AS run_output FROM events""",
+        CASE WHEN event_type <> 'view' THEN '{"k":' || json_extract_string(props, '$.k') || ',"note":"' || CASE WHEN event_type = 'click' THEN 'clicked' ELSE 'none' END || '"}' END AS run_output FROM events""",
     "q35_topo_reachability": """WITH RECURSIVE edges AS (SELECT 'r' || n_regionkey AS p, 'n' || n_nationkey AS c FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer),
         w(root, node, depth) AS (SELECT 'r' || r_regionkey, 'r' || r_regionkey, 0 FROM region UNION SELECT root, c, depth + 1 FROM w JOIN edges ON p = node) SELECT root, CAST(depth AS BIGINT) AS depth, count(DISTINCT node) AS n_nodes FROM w GROUP BY 1, 2""",
     "q36_dependency_closure": """WITH RECURSIVE edges AS (SELECT n_nationkey AS p, CAST(n_nationkey * 2 + k AS INTEGER) AS c FROM nation, (VALUES (1), (2)) t(k) WHERE n_nationkey * 2 + k < 25),
@@ -76,8 +76,7 @@ ORACLE_SQL = {
     "q38_projection_check": """WITH r AS (SELECT user_id AS run_id, arg_max(event_type, event_id) AS kind FROM events GROUP BY 1), s AS (SELECT run_id, CASE WHEN run_id % 7 = 0 THEN 'view' ELSE kind END AS kind FROM r WHERE run_id % 10 <> 0)
         SELECT r.run_id, CASE WHEN s.run_id IS NULL THEN 'missing' ELSE 'differs' END AS difference, r.kind AS replayed, s.kind AS stored FROM r LEFT JOIN s ON s.run_id = r.run_id WHERE s.run_id IS NULL OR s.kind <> r.kind""",
     "q39_definition_diff": _DEFINITION_DIFF,
-    "q40_anti_join_rerank": """WITH rich AS (SELECT * FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 100)
-        SELECT row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rank, c_custkey, c_name FROM rich WHERE lower(c_name) NOT IN (SELECT lower(c_name) FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 400000)""",
+    "q40_anti_join_rerank": """SELECT row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rank, c_custkey, c_name FROM customer WHERE lower(c_name) NOT IN (SELECT lower(c_name) FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 400000)""",
     "q41_hash_chain_links": f"""WITH {_FACTS}, g AS (SELECT lsn, run_id, sha256(concat_ws('|', lsn, kind, props)) AS digest FROM facts), p AS (SELECT *, lag(digest, 1, '') OVER (PARTITION BY run_id ORDER BY lsn) AS prev_digest FROM g)
         SELECT lsn, run_id, prev_digest, sha256(prev_digest || digest) AS link FROM p""",
     "q42_cron_latest_slot": f"""WITH {_FACTS}, days AS (SELECT CAST(d AS DATE) AS d FROM (SELECT unnest(generate_series((SELECT CAST(min(ts) AS DATE) - 10 FROM facts)::TIMESTAMP, (SELECT max(ts) FROM facts)::TIMESTAMP, INTERVAL 1 DAY)) AS d)),
@@ -86,8 +85,8 @@ ORACLE_SQL = {
     "q43_slot_dedupe": f"WITH {_FACTS} SELECT run_id, strftime(ts, '%Y-%m-%d') AS slot, min(lsn) AS fired_by, count(*) - 1 AS conflicts FROM facts GROUP BY 1, 2",
     "q44_policy_layers": f"SELECT page_id, CASE WHEN regexp_matches(url, '^http://ththre\\.example\\.com(:80)?([/?#]|$)') THEN 'ask' WHEN {_HTTPS_EN} THEN 'allow' ELSE 'deny' END AS decision FROM pages",
     "q45_url_prefix_match": f"SELECT page_id, {_HTTPS_EN} AS https_en, regexp_matches(url, '^http://ththre\\.example\\.com(:80)?([/?#]|$)') AS http_any FROM pages",
-    "q46_capability_covers": f"""WITH {_FACTS}, k AS (SELECT DISTINCT run_id, kind FROM facts WHERE lsn <= 5000)
-        SELECT run_id, bool_and(kind IN ('click', 'view', 'signup')) AS covered, coalesce(string_agg(kind, ',' ORDER BY kind) FILTER (WHERE kind NOT IN ('click', 'view', 'signup')), '') AS lacking FROM k GROUP BY 1""",
+    "q46_capability_covers": f"""WITH {_FACTS}, k AS (SELECT DISTINCT run_id, kind, CASE run_id % 3 WHEN 0 THEN true WHEN 1 THEN kind IN ('click', 'view', 'signup') ELSE kind IN ('error', 'purchase') END AS held FROM facts)
+        SELECT run_id, bool_and(held) AS covered, coalesce(string_agg(kind, ',' ORDER BY kind) FILTER (WHERE NOT held), '') AS lacking FROM k GROUP BY 1""",
     "q47_truthy_eval": f"WITH {_FACTS} SELECT lsn, coalesce({_K} % 3 <> 0, false) AS t_int, kind <> 'view' AS t_text, true AS t_object, coalesce(floor(value) <> 10, false) AS t_double FROM facts",
     "q48_template_interpolate": f"WITH {_FACTS} SELECT lsn, run_id AS whole, 'user ' || run_id || ' did ' || kind || ': ' || CASE WHEN kind = 'click' THEN 'yes' ELSE 'null' END AS written FROM facts",
     "q49_redact_url_params": f"SELECT page_id, regexp_replace(url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'api_key=k' || page_id || '&q=1#access_token=t', '([?&#][^=&#]*({_SENSITIVE})[^=&#]*=)[^&#]*', '\\1***', 'gi') AS url FROM pages",
@@ -118,4 +117,71 @@ ORACLE_SQL = {
         SELECT c_custkey, CASE WHEN g.ask IS NULL THEN 'not_granted_by_workflow' WHEN g.ask OR c_acctbal < 0 THEN 'requires_approval' ELSE 'auto' END AS derived FROM customer c LEFT JOIN g ON g.c_nationkey = c.c_nationkey AND g.c_mktsegment = c.c_mktsegment""",
     "q69_line_range": "SELECT doc_id, sha256(coalesce(array_to_string(list_slice(string_split(text, chr(10)), 2, 4), chr(10)), '')) AS lines FROM documents",
     "q70_running_window": f"WITH {_FACTS} SELECT lsn, round(sum(value) OVER (PARTITION BY run_id ORDER BY lsn ROWS UNBOUNDED PRECEDING), 4) AS running, rank() OVER (PARTITION BY run_id ORDER BY kind) AS kind_rank FROM facts",
+    "q64_truncate_text": """WITH t AS (SELECT doc_id, text, octet_length(encode(text)) AS n FROM documents)
+        SELECT doc_id, sha256(CASE WHEN n > 500 THEN left(text, CAST(list_max(list_filter(generate_series(0, 500), lambda c: octet_length(encode(left(text, c))) <= 500)) AS BIGINT)) || '~' ELSE text END) AS head,
+        sha256(CASE WHEN n > 512 THEN '~' || right(text, CAST(list_max(list_filter(generate_series(0, 512), lambda c: octet_length(encode(right(text, c))) <= 512)) AS BIGINT)) ELSE text END) AS tail FROM t""",
+    "q66_entity_digest": f"""WITH {_FACTS}, p AS (SELECT lsn, [kind, CAST(run_id AS VARCHAR), props] AS parts FROM facts)
+        SELECT lsn, sha256(unhex(array_to_string(list_transform(parts, lambda x: printf('%02x%02x', octet_length(encode(x)) % 256, octet_length(encode(x)) // 256) || '000000000000' || hex(encode(x))), ''))) AS digest FROM p""",
+    "q71_fold_run_rules": f"""WITH {_FACTS}, m AS (SELECT run_id, lsn, kind, CASE WHEN kind = 'click' THEN 1 ELSE 0 END - coalesce(lag(CASE WHEN kind = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY run_id, {_K} % 3 ORDER BY lsn), 0) AS step FROM facts WHERE kind IN ('click', 'view')),
+        a AS (SELECT f.run_id, f.lsn, f.kind, coalesce(m.step, 0) AS step FROM facts f LEFT JOIN m ON m.lsn = f.lsn), w AS (SELECT *, sum(step) OVER (PARTITION BY run_id ORDER BY lsn) AS waits FROM a),
+        e AS (SELECT run_id, min(lsn) AS ended_at, arg_min(kind, lsn) AS how FROM w WHERE kind = 'signup' OR kind IN ('purchase', 'error') AND waits = 0 GROUP BY 1)
+        SELECT w.run_id, coalesce(CASE any_value(how) WHEN 'purchase' THEN 'succeeded' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'cancelled' END, CASE WHEN arg_max(waits, lsn) > 0 THEN 'awaiting_resume' ELSE 'running' END) AS status, any_value(ended_at) AS ended_at,
+        count(*) FILTER (WHERE CASE WHEN lsn > ended_at THEN kind = 'purchase' ELSE kind IN ('purchase', 'error') AND waits > 0 END) AS n_rejected FROM w LEFT JOIN e ON e.run_id = w.run_id GROUP BY w.run_id""",
+    "q72_fold_operations": f"""WITH RECURSIVE {_FACTS}, o AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY lsn) AS n FROM facts),
+        s(run_id, n, ready, opened, fp, out_at, rejected) AS (SELECT DISTINCT run_id, 0::BIGINT, false, NULL::BIGINT, NULL::VARCHAR, NULL::BIGINT, 0::BIGINT FROM facts UNION ALL
+            SELECT s.run_id, o.n, ready OR kind = 'signup', CASE WHEN kind = 'error' THEN NULL WHEN kind = 'click' AND ready AND lsn % 10 <> 0 AND opened IS NULL THEN lsn ELSE opened END,
+            CASE WHEN kind = 'error' THEN NULL WHEN kind = 'click' AND ready AND lsn % 10 <> 0 AND opened IS NULL THEN sha256(props) ELSE fp END,
+            CASE WHEN kind = 'error' THEN NULL WHEN kind = 'purchase' AND opened IS NOT NULL AND out_at IS NULL THEN lsn ELSE out_at END,
+            rejected + CASE WHEN kind = 'view' AND NOT ready OR kind = 'click' AND NOT (ready AND lsn % 10 <> 0 AND opened IS NULL) OR kind = 'purchase' AND NOT (opened IS NOT NULL AND out_at IS NULL) THEN 1 ELSE 0 END
+            FROM s JOIN o ON o.run_id = s.run_id AND o.n = s.n + 1)
+        SELECT run_id, CASE WHEN out_at IS NOT NULL THEN 'answered' WHEN opened IS NOT NULL THEN 'open' ELSE 'none' END AS state, opened AS authorized_at, fp AS fingerprint, out_at AS outcome_at, rejected AS n_rejected
+        FROM s WHERE n = (SELECT max(n) FROM o WHERE o.run_id = s.run_id)""",
+    "q73_fold_config": f"""WITH {_FACTS}, c AS (SELECT run_id, max(lsn) AS changed_at, arg_max(props, lsn) AS props, arg_max(kind, lsn) AS kind, max(lsn) FILTER (WHERE kind = 'error') AS cleared FROM facts WHERE kind <> 'purchase' GROUP BY 1)
+        SELECT run_id, changed_at, props, (SELECT max(lsn) FROM facts f WHERE f.run_id = c.run_id AND f.kind = 'purchase' AND (cleared IS NULL OR f.lsn > cleared)) AS watermark FROM c WHERE kind <> 'error'""",
+    "q74_fold_workflows": f"""WITH RECURSIVE {_FACTS}, t AS (SELECT *, count(*) FILTER (WHERE kind = 'view') OVER (PARTITION BY run_id ORDER BY lsn) AS nth, row_number() OVER (PARTITION BY run_id ORDER BY lsn) AS n FROM facts WHERE kind <> 'click'),
+        v AS (SELECT run_id, n, kind, CASE WHEN kind = 'view' THEN CASE WHEN lsn % 7 = 0 THEN nth + 1 ELSE greatest(1, nth - run_id % 4) END WHEN kind = 'purchase' THEN lsn % 5 + 1 END AS version FROM t),
+        s(run_id, n, made, versions, published, deleted, rejected) AS (SELECT DISTINCT run_id, 0::BIGINT, false, 0::BIGINT, NULL::BIGINT, false, 0::BIGINT FROM v UNION ALL
+            SELECT s.run_id, v.n, made OR kind = 'signup', versions + CASE WHEN kind = 'view' AND made AND version = versions + 1 THEN 1 ELSE 0 END,
+            CASE WHEN kind = 'purchase' AND made AND version <= versions THEN greatest(coalesce(published, 0), version) ELSE published END, deleted OR (kind = 'error' AND made),
+            rejected + CASE kind WHEN 'signup' THEN made::INT WHEN 'view' THEN (NOT (made AND version = versions + 1))::INT WHEN 'purchase' THEN (NOT (made AND version <= versions))::INT ELSE 0 END
+            FROM s JOIN v ON v.run_id = s.run_id AND v.n = s.n + 1)
+        SELECT run_id, versions, published AS published_version, deleted, rejected AS n_rejected FROM s WHERE made AND n = (SELECT max(n) FROM v WHERE v.run_id = s.run_id)""",
+    "q75_event_page_bytes": f"""WITH {_FACTS}, p AS (SELECT lsn, run_id, kind, octet_length(encode(props)) + 20 AS n FROM facts WHERE lsn > 100 AND lsn <= 900 ORDER BY lsn LIMIT 256),
+        u AS (SELECT *, sum(n) OVER (ORDER BY lsn) AS upto, row_number() OVER (ORDER BY lsn) AS place FROM p) SELECT lsn, run_id, kind FROM u WHERE upto <= 2000 OR place = 1""",
+    "q76_audit_page": f"""WITH {_FACTS}, l AS (SELECT lsn, CASE WHEN kind <> 'error' THEN run_id END AS run_id, CASE kind WHEN 'purchase' THEN 'permission_decided' WHEN 'error' THEN 'plugin_grant_upserted' ELSE kind END AS kind FROM facts WHERE kind IN ('click', 'purchase', 'error'))
+        SELECT lsn, run_id, kind FROM l ORDER BY run_id NULLS LAST, lsn LIMIT 256""",
+    "q77_dag_retry": f"""WITH r AS (SELECT event_id AS run_id, {_K} AS k, event_id % 4 + 1 AS made FROM events)
+        SELECT run_id, CASE WHEN k <= 50 THEN 'succeeded' WHEN made < 3 THEN 'waiting' ELSE 'failed' END AS risky, CASE WHEN k <= 50 THEN 'succeeded' WHEN made < 3 THEN 'running' ELSE 'failed' END AS run_status,
+        CASE WHEN k <= 50 THEN CAST(k AS VARCHAR) END AS run_output, CASE WHEN k > 50 AND made >= 3 THEN 'too large: ' || k END AS run_error FROM r""",
+    "q78_dag_http_status": """SELECT page_id AS run_id, CASE WHEN page_id % 5 = 0 THEN 'failed' ELSE 'succeeded' END AS fetch, CASE WHEN page_id % 5 = 0 THEN 'upstream_failed' END AS end_reason, CASE WHEN page_id % 5 = 0 THEN 'failed' ELSE 'succeeded' END AS run_status,
+        CASE WHEN page_id % 5 <> 0 THEN CAST(to_json(url) AS VARCHAR) END AS run_output, CASE WHEN page_id % 5 = 0 THEN 'HTTP status 404' END AS run_error FROM pages""",
+    "q79_dag_llm_contract": f"""WITH e AS (SELECT event_id AS run_id, CASE WHEN event_type = 'error' THEN 'the reply is no JSON' WHEN event_type = 'signup' THEN 'response contract: $.k: required property missing' WHEN {_K} > 60 THEN 'response contract: $.k: number outside bounds' END AS run_error, {_K} AS k FROM events)
+        SELECT run_id, CASE WHEN run_error IS NULL THEN 'succeeded' ELSE 'failed' END AS run_status, CASE WHEN run_error IS NULL THEN '{{"k":' || k || '}}' END AS run_output, run_error FROM e""",
+    "q80_cancel_cascade": f"""WITH RECURSIVE {_RUNS}, w(root, run_id, depth) AS (SELECT run_id, run_id, 0 FROM runs WHERE status = 'running' UNION ALL SELECT root, r.run_id, depth + 1 FROM w JOIN runs r ON r.run_id >= 4 AND r.run_id // 4 = w.run_id WHERE r.status <> 'succeeded')
+        SELECT root, run_id, CAST(depth AS BIGINT) AS depth FROM w WHERE depth > 0""",
+    "q81_latest_published": "SELECT p_brand AS workflow_id, max(p_partkey) AS version, arg_max(p_name, p_partkey) AS name FROM part WHERE p_size % 3 = 0 GROUP BY 1",
+    "q82_freeze_dependencies": """WITH RECURSIVE v AS (SELECT n_nationkey AS w, CASE WHEN n_nationkey % 3 <> 0 THEN 3 ELSE 2 END AS version FROM nation), e AS (SELECT w AS p, w * 2 + version % 2 + 1 AS c FROM v WHERE w * 2 + version % 2 + 1 < 25),
+        x(root, node, depth) AS (SELECT w, w, 0 FROM v UNION SELECT root, c, depth + 1 FROM x JOIN e ON p = node), m AS (SELECT root, node, CAST(min(depth) AS BIGINT) AS depth FROM x GROUP BY 1, 2) SELECT root, node, version, depth FROM m JOIN v ON w = node""",
+    "q83_approval_status": f"WITH {_RUNS} SELECT run_id, CASE WHEN CAST(substr(o_orderpriority, 1, 1) AS INTEGER) % 2 = 0 THEN 'allowed' WHEN status = 'succeeded' THEN 'cancelled' ELSE 'pending' END AS shown FROM runs JOIN orders ON o_orderkey = run_id",
+    "q84_canonical_json": f"""WITH {_FACTS} SELECT lsn, sha256('{{"a":{{"c":"' || kind || '","y":[1,{{"b":3,"q":2}}]}},"z":{{"k":' || {_K} || '}}}}') AS digest FROM facts""",
+    "q85_redact_json": f"""WITH {_FACTS} SELECT lsn, '{{"user_token": "***", "inner": {{"Password": "***", "kind": "' || kind || '"}}}}' AS shown FROM facts""",
+    "q86_policy_rules": f"""WITH p AS (SELECT page_id, regexp_matches(url, '^http://ththre\\.example\\.com(:80)?([/?#]|$)') AS plain, {_HTTPS_EN} AS en, page_id % 3 = 0 AS mail, page_id % 2 = 0 AS to_a FROM pages)
+        SELECT page_id, CASE WHEN NOT (plain OR en) OR mail AND NOT to_a THEN 'deny' WHEN plain THEN 'ask' ELSE 'allow' END AS decision,
+        concat_ws(',', 'plugin:any', CASE WHEN mail THEN 'plugin:note' END, CASE WHEN en THEN 'workflow:all' END, CASE WHEN mail AND to_a THEN 'workflow:mail' END, CASE WHEN plain THEN 'workflow:plain' END) AS matched FROM p""",
+    "q87_cron_fire": f"""WITH {_FACTS}, s AS (SELECT lsn, run_id, ts, min(ts) OVER (PARTITION BY run_id) AS first, time_bucket(INTERVAL 6 HOUR, ts - INTERVAL 30 MINUTE, TIMESTAMP '2000-01-01') + INTERVAL 30 MINUTE AS slot FROM facts),
+        l AS (SELECT *, lag(slot) OVER (PARTITION BY run_id ORDER BY lsn) AS last FROM s) SELECT lsn, CASE WHEN slot >= first + INTERVAL 1 DAY AND (last IS NULL OR slot > last) THEN strftime(slot, '%Y-%m-%d %H:%M:%S') END AS slot FROM l""",
+    "q88_key_parts": f"WITH {_FACTS} SELECT lsn, CAST(run_id AS VARCHAR) AS parent, CASE WHEN lsn % 2 = 0 THEN kind END AS slot, CAST(run_id AS VARCHAR) AS workflow_id, kind AS status, NULL AS name FROM facts",
+    "q89_depth_limit": f"WITH {_FACTS} SELECT lsn, {_K} > 64 AS too_deep FROM facts",
+    "q90_template_objects": f"""WITH {_FACTS} SELECT lsn, '["' || kind || '","x"] by {{"id":' || run_id || ',"name":null}}' AS written FROM facts""",
+    "q91_recent_receipts": f"WITH {_FACTS}, n AS (SELECT CAST(count(*) AS BIGINT) AS n FROM facts) SELECT lsn, run_id, kind FROM facts, n WHERE lsn > (SELECT max(lsn) FROM facts) - CASE WHEN n <= 64 THEN n ELSE 32 + (n - 65) % 33 END",
+    "q92_fold_approvals": f"""WITH {_FACTS}, a AS (SELECT run_id, min(lsn) AS asked_at FROM facts WHERE kind = 'view' GROUP BY 1), d AS (SELECT a.run_id, min(lsn) AS decided_at, arg_min(kind, lsn) AS kind FROM a JOIN facts f ON f.run_id = a.run_id AND lsn > asked_at AND kind IN ('purchase', 'error') GROUP BY 1)
+        SELECT a.run_id, asked_at, CASE kind WHEN 'purchase' THEN 'allow' WHEN 'error' THEN 'deny' ELSE 'pending' END AS state, decided_at FROM a LEFT JOIN d ON d.run_id = a.run_id""",
+    "q93_workflow_assembly": """WITH v AS (SELECT p_brand, p_size, max(p_name) AS body, max(p_partkey) % 2 = 0 AS published FROM part GROUP BY 1, 2)
+        SELECT p_brand AS workflow_id, string_agg(p_size || '=' || body, ',' ORDER BY p_size) AS versions, max(p_size) AS latest, max(p_size) FILTER (WHERE published) AS published_version FROM v GROUP BY 1""",
+    "q94_run_attempts_assembly": """WITH a AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'failed' WHEN l_linestatus = 'O' THEN 'running' ELSE 'succeeded' END AS status,
+            row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS n FROM lineitem),
+        m AS (SELECT l_orderkey, l_linenumber, l_linenumber || ':' || arg_max(status, n) || '(' || string_agg(status, '|' ORDER BY n) || ')' AS node FROM a GROUP BY 1, 2)
+        SELECT o_orderkey AS run_id, coalesce(string_agg(node, ',' ORDER BY l_linenumber), '') AS nodes FROM orders LEFT JOIN m ON l_orderkey = o_orderkey GROUP BY 1""",
+    "q95_start_refusals": """WITH s AS (SELECT s_nationkey AS workflow_id, s_suppkey AS node_id, s_suppkey % 3 = 0 AS outside, CASE WHEN s_suppkey % 5 = 0 THEN 'p' || s_suppkey % 2 END AS plugin, n_regionkey AS r FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+        t AS (SELECT workflow_id, node_id, CASE WHEN r = 1 THEN CASE WHEN outside OR plugin IS NOT NULL THEN 'no permissions' END WHEN r <> 2 AND plugin = 'p1' THEN 'plugin not granted' END AS reason FROM s) SELECT * FROM t WHERE reason IS NOT NULL""",
 }

@@ -1,7 +1,6 @@
 """The catalogue of queries: each applies one operator to the driver's tables, standing in for facts, runs, nodes and logs."""
 
 import contextlib
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,7 @@ from tallyloom.functions import contracts, cron, statistics, text, values
 from tallyloom.operators import assembly, differences, hierarchy, integrity, policies, reads, retention, rollups
 from tallyloom.plans import evaluate, fold
 from tallyloom.plans.definition import parse
-from tallyloom.sources import facts
+from tallyloom.sources import facts, kept
 from tallyloom.streaming import folds
 
 #: Kinds of the events table that end a run.
@@ -77,7 +76,7 @@ def q07_fact_runseq(spark, d):
 
 @query
 def q08_seq_contiguity(spark, d):
-    """Positions of purchases alone leave gaps in a run's numbering: each is reported with the number that was expected."""
+    """Without its views a run's numbering has gaps: the fact after each is reported with the number that was expected."""
     return facts.gaps(_facts(spark, d).filter("kind <> 'view'"), ["run_id"], "run_seq").select("run_id", "lsn", "run_seq", "expected")
 
 
@@ -104,15 +103,12 @@ def q12_command_first_receipt(spark, d):
 
 @query
 def q13_runs_keyset_page(spark, d):
-    """The second page of failed and other awaiting runs of the newest first, after run 900."""
-    page = reads.keyset_page(reads.filter_runs(_runs(spark, d), status="succeeded"), "created_at", "run_id", 50, before=_some_run(spark, d))
+    """A page of succeeded runs, the newest first, after the succeeded run of the largest id."""
+    mine = reads.filter_runs(_runs(spark, d), status="succeeded")
+    page = reads.keyset_page(mine, "created_at", "run_id", 50, before=mine.agg(F.max("run_id").alias("run_id")))
     return page.select("run_id", "workflow_id", "status", "source")
 
 
-def _some_run(spark, d) -> int:
-    return _runs(spark, d).filter("status = 'succeeded'").agg(F.max("run_id")).first()[0]
-
-
 @query
 def q14_list_byte_budget(spark, d):
     page = reads.byte_budget_page(facts.table(spark, d, "documents"), "doc_id", F.octet_length("text"), 256, after=20, budget=100_000)
@@ -131,7 +127,8 @@ def q16_active_runs(spark, d):
 
 @query
 def q17_public_event_projection(spark, d):
-    return reads.public_events(_raw_facts(spark, d))
+    shown = {"error": F.lit("EXECUTION_FAILED"), "purchase": F.format_string("%.2f", "value"), "signup": F.lit("")}
+    return reads.public_events(_raw_facts(spark, d), shown)
 
 
 @query
@@ -141,9 +138,9 @@ def q18_size_guard(spark, d):
 
 @query
 def q19_timeline_left_join(spark, d):
-    """The first 40 parts as a definition's nodes, with the lines that used them."""
-    definition = facts.table(spark, d, "part").filter("p_partkey <= 40").select(F.col("p_partkey").alias("node_id"), F.col("p_partkey").alias("ordinal"), F.col("p_name").alias("name"))
-    used = facts.table(spark, d, "lineitem").filter("l_partkey <= 40").groupBy(F.col("l_partkey").alias("node_id")).agg(F.count("*").alias("n_lines"), F.max("l_quantity").alias("max_quantity"))
+    """The parts as a definition's nodes, with the lines that used them."""
+    definition = facts.table(spark, d, "part").select(F.col("p_partkey").alias("node_id"), F.col("p_partkey").alias("ordinal"), F.col("p_name").alias("name"))
+    used = facts.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("node_id")).agg(F.count("*").alias("n_lines"), F.max("l_quantity").alias("max_quantity"))
     return assembly.timeline(definition, used)
 
 
@@ -261,7 +258,7 @@ def q33_dag_subworkflow(spark, d):
 def q34_dag_input_node(spark, d):
     graph = _graph([("start", "start"), ("ask", "input", {"fields": [{"key": "k"}, {"key": "note", "default": "none"}]}), ("end", "end")], [("start", "ask"), ("ask", "end")])
     e = facts.table(spark, d, "events")
-    runs = e.select(F.col("event_id").alias("run_id"), F.struct(F.when(F.col("event_type") != "view", F.get_json_object("props", "$.k")).alias("k"), F.when(F.col("event_type") == "click", "clicked").alias("note")).alias("input"))
+    runs = e.select(F.col("event_id").alias("run_id"), F.struct(F.when(F.col("event_type") != "view", F.get_json_object("props", "$.k").cast("long")).alias("k"), F.when(F.col("event_type") == "click", "clicked").alias("note")).alias("input"))
     return evaluate.run_batch(graph, runs).select("run_id", F.col("node_ask.status").alias("ask"), "run_status", "run_output")
 
 
@@ -310,8 +307,7 @@ def q39_definition_diff(spark, d):
 def q40_anti_join_rerank(spark, d):
     c = facts.table(spark, d, "customer")
     busy = facts.table(spark, d, "orders").filter("o_totalprice > 400000").join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.upper("c_name").alias("c_name"))
-    rich = c.orderBy(F.desc("c_acctbal"), "c_custkey").limit(100)
-    return assembly.exclude_and_rank(rich, busy, "c_name", [F.desc("c_acctbal"), F.col("c_custkey")]).select("rank", "c_custkey", "c_name")
+    return assembly.exclude_and_rank(c, busy, "c_name", [F.desc("c_acctbal"), F.col("c_custkey")]).select("rank", "c_custkey", "c_name")
 
 
 @query
@@ -323,7 +319,7 @@ def q41_hash_chain_links(spark, d):
 @query
 def q42_cron_latest_slot(spark, d):
     """The latest slot of 'every 15 minutes from 8 to 17 on weekdays' before each event."""
-    slot = cron.previous_slot("*/15 8-17 * * 1-5", F.col("ts").cast("timestamp_ntz"), days=10)
+    slot = cron.previous_slot("*/15 8-17 * * 1-5", F.col("ts").cast("timestamp_ntz"))
     return _raw_facts(spark, d).select("lsn", F.date_format(slot, "yyyy-MM-dd HH:mm:ss").alias("slot"))
 
 
@@ -354,8 +350,11 @@ def q45_url_prefix_match(spark, d):
 
 @query
 def q46_capability_covers(spark, d):
-    granted = F.array(F.lit("click"), F.lit("view"), F.lit("signup"))
-    return _raw_facts(spark, d).filter("lsn <= 5000").groupBy("run_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds")).select("run_id", policies.covers(F.col("kinds"), granted).alias("covered"), F.array_join(F.array_sort(F.array_except("kinds", granted)), ",").alias("lacking"))
+    """What a run does against what is granted to it, which goes by its id."""
+    grants = F.array(F.array(F.lit("click"), F.lit("error"), F.lit("purchase"), F.lit("signup"), F.lit("view")), F.array(F.lit("click"), F.lit("view"), F.lit("signup")), F.array(F.lit("error"), F.lit("purchase")))
+    granted = F.get(grants, (F.col("run_id") % 3).cast("int"))
+    done = _raw_facts(spark, d).groupBy("run_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+    return done.select("run_id", policies.covers(F.col("kinds"), granted).alias("covered"), F.array_join(F.array_sort(F.array_except("kinds", granted)), ",").alias("lacking"))
 
 
 @query
@@ -446,7 +445,7 @@ def q60_stream_fold_equals_batch(spark, d):
     schema = facts.table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).parquet(_as_glob(f"{d}/events.parquet"))
     log = stream.select((F.col("event_id") + 1).alias("lsn"), F.col("user_id").alias("run_id"), F.col("event_type").alias("kind"))
-    base = f"{_folder(spark)}/stream-fold"
+    base = kept.shared_path(spark, "stream-fold")
     with _setting(spark, "spark.sql.streaming.stateStore.providerClass", folds.ROCKS):
         folds.stream_runs(log, TERMINAL).writeStream.outputMode("update").option("checkpointLocation", f"{base}-state").trigger(availableNow=True).foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{base}-out/batch={n}")).start().awaitTermination()
     out = spark.read.parquet(f"{base}-out")
@@ -458,15 +457,6 @@ def _as_glob(path: str) -> str:
     return f"{path[:-1]}[{path[-1]}]"
 
 
-def _folder(spark: SparkSession) -> str:
-    import uuid
-
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyloom-"))
-    return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
-
-
 @contextlib.contextmanager
 def _setting(spark: SparkSession, key: str, value: str):
     before = spark.conf.get(key, None)
@@ -544,3 +534,215 @@ def q70_running_window(spark, d):
     """A run's running sum of values and its rank among all, in log order."""
     w = Window.partitionBy("run_id").orderBy("lsn")
     return _raw_facts(spark, d).select("lsn", F.round(F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0)), 4).alias("running"), F.rank().over(Window.partitionBy("run_id").orderBy("kind")).cast("long").alias("kind_rank"))
+
+
+@query
+def q71_fold_run_rules(spark, d):
+    """Users as runs: clicks make one of three nodes uncertain, views settle it, purchases complete, errors fail, signups cancel."""
+    return fold.fold_run_rules(_raw_facts(spark, d).withColumn("node_id", F.get_json_object("props", "$.k").cast("long") % 3), "run_id", "node_id", "lsn", "purchase", "error", "signup", "click", "view")
+
+
+@query
+def q72_fold_operations(spark, d):
+    """Signups prepare, views are intents, clicks authorize (one in ten with a wrong fingerprint), purchases answer, errors retry."""
+    names = F.create_map(*[F.lit(x) for x in ("signup", "prepared", "view", "intent", "click", "authorized", "purchase", "outcome", "error", "retry")])
+    e = _raw_facts(spark, d)
+    log = e.select("run_id", "lsn", F.element_at(names, F.col("kind")).alias("kind"), F.col("props").alias("request"), F.when(F.col("lsn") % 10 != 0, F.sha2("props", 256)).otherwise("wrong").alias("fingerprint"))
+    return fold.fold_operations(log, ["run_id"], "lsn")
+
+
+@query
+def q73_fold_config(spark, d):
+    """Users as schedules: facts but purchases are their documents, errors delete, purchases are slots fired."""
+    e = _raw_facts(spark, d)
+    changes = e.filter("kind <> 'purchase'").select("run_id", "lsn", "props", (F.col("kind") == "error").alias("deleted"))
+    return fold.fold_config(changes, ["run_id"], "lsn", "props", "deleted", e.filter("kind = 'purchase'").select("run_id", "lsn", F.col("lsn").alias("at")))
+
+
+@query
+def q74_fold_workflows(spark, d):
+    """Users as workflows: signups create, views bring versions (one in seven skips a number), purchases publish, errors delete."""
+    e = _facts(spark, d).filter("kind <> 'click'")
+    nth = F.count_if(F.col("kind") == "view").over(Window.partitionBy("run_id").orderBy("lsn").rowsBetween(Window.unboundedPreceding, 0))
+    names = F.create_map(*[F.lit(x) for x in ("signup", "created", "view", "updated", "purchase", "published", "error", "deleted")])
+    version = F.when(F.col("kind") == "view", F.when(F.col("lsn") % 7 == 0, nth + 1).otherwise(F.greatest(F.lit(1), nth - F.col("run_id") % 4))).when(F.col("kind") == "purchase", F.col("lsn") % 5 + 1)
+    return fold.fold_workflows(e.select("run_id", "lsn", F.element_at(names, F.col("kind")).alias("kind"), version.cast("long").alias("version")), "run_id", "lsn")
+
+
+@query
+def q75_event_page_bytes(spark, d):
+    """A page of facts after the 100th of at most 2,000 bytes."""
+    page = reads.event_page(_raw_facts(spark, d), 900, after=(100, 0), size=F.octet_length("props") + 20, budget=2000)
+    return page.select("lsn", "run_id", "kind")
+
+
+@query
+def q76_audit_page(spark, d):
+    """Clicks as audit facts, purchases as decisions, errors as grants of no run; the first 256 of those up to the last."""
+    e = _raw_facts(spark, d)
+    names = F.create_map(F.lit("purchase"), F.lit("permission_decided"), F.lit("error"), F.lit("plugin_grant_upserted"))
+    log = e.select("lsn", F.when(F.col("kind") != "error", F.col("run_id")).alias("run_id"), F.coalesce(F.try_element_at(names, F.col("kind")), F.col("kind")).alias("kind"), F.when(F.col("kind") == "click", F.col("lsn")).otherwise(0).alias("audit_seq"), F.col("props").alias("payload"))
+    return reads.audit_page(log, 1 << 40).select("lsn", "run_id", "kind")
+
+
+@query
+def q77_dag_retry(spark, d):
+    """A script that fails for some, with three attempts, of which the run has made one to four."""
+    graph = _graph([("start", "start"), ("risky", "script", {"code": "input.k", "fails": "CASE WHEN input.k > 50 THEN concat('too large: ', input.k) END", "retry": {"max_attempts": 3, "backoff_ms": 10}}), ("end", "end")], [("start", "risky"), ("risky", "end")])
+    runs = _event_inputs(spark, d).withColumn("attempts", F.create_map(F.lit("risky"), (F.col("run_id") % 4 + 1).cast("int")))
+    return evaluate.run_batch(graph, runs).select("run_id", F.col("node_risky.status").alias("risky"), "run_status", "run_output", "run_error")
+
+
+@query
+def q78_dag_http_status(spark, d):
+    """Pages as recorded replies: one in five is not found."""
+    graph = _graph([("start", "start"), ("fetch", "http_call", {"url": "${input.url}"}), ("end", "end")], [("start", "fetch"), ("fetch", "end")])
+    p = facts.table(spark, d, "pages")
+    runs = p.select(F.col("page_id").alias("run_id"), F.struct("url").alias("input"), F.create_map(F.lit("fetch"), F.col("url")).alias("recorded"), F.create_map(F.lit("fetch"), F.when(F.col("page_id") % 5 == 0, 404).otherwise(200)).alias("statuses"))
+    return evaluate.run_batch(graph, runs).select("run_id", F.col("node_fetch.status").alias("fetch"), F.col("node_end.skip_reason").alias("end_reason"), "run_status", "run_output", "run_error")
+
+
+@query
+def q79_dag_llm_contract(spark, d):
+    """Recorded model replies that must hold a k of at most 60."""
+    graph = _graph([("start", "start"), ("ask", "llm", {"url": "u", "body": "b", "response_schema": {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "maximum": 60}}}}), ("end", "end")], [("start", "ask"), ("ask", "end")])
+    e = facts.table(spark, d, "events")
+    reply = F.when(F.col("event_type") == "error", "no json").when(F.col("event_type") == "signup", "{}").otherwise(F.col("props"))
+    runs = e.select(F.col("event_id").alias("run_id"), F.struct("event_id").alias("input"), F.create_map(F.lit("ask"), reply).alias("recorded"))
+    return evaluate.run_batch(graph, runs).select("run_id", "run_status", "run_output", "run_error")
+
+
+@query
+def q80_cancel_cascade(spark, d):
+    """Orders as runs, each below the one of a quarter of its key; running ones are cancelled with all open ones below them."""
+    o = _runs(spark, d)
+    runs = o.select("run_id", "status", F.when(F.col("run_id") >= 4, F.floor(F.col("run_id") / 4)).alias("parent_id"))
+    return assembly.cancel_cascade(o.filter("status = 'running'").select("run_id"), runs).withColumn("depth", F.col("depth").cast("long"))
+
+
+@query
+def q81_latest_published(spark, d):
+    p = facts.table(spark, d, "part")
+    return hierarchy.latest_published(p.select(F.col("p_brand").alias("workflow_id"), F.col("p_partkey").alias("version"), (F.col("p_size") % 3 == 0).alias("published"), F.col("p_name").alias("name")))
+
+
+@query
+def q82_freeze_dependencies(spark, d):
+    """Nations as workflows of three versions, the last unpublished for one in three; a version calls others by its key and number."""
+    n = facts.table(spark, d, "nation").select(F.col("n_nationkey").alias("workflow_id"), F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])).alias("version"))
+    versions = n.withColumn("published", (F.col("version") < 3) | (F.col("workflow_id") % 3 != 0))
+    calls = n.select("workflow_id", "version", (F.col("workflow_id") * 2 + F.col("version") % 2 + 1).alias("child")).filter("child < 25")
+    roots = n.select(F.col("workflow_id").alias("root")).distinct()
+    return hierarchy.freeze_dependencies(versions, calls, roots)[0].select("root", "node", "version", F.col("depth").cast("long").alias("depth"))
+
+
+@query
+def q83_approval_status(spark, d):
+    """Orders' approvals, pending where the priority is odd, as they are shown."""
+    approvals = facts.table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), F.when(F.substring("o_orderpriority", 1, 1).cast("int") % 2 == 1, "pending").otherwise("allowed").alias("state"))
+    return assembly.approval_status(approvals, _runs(spark, d)).select("run_id", "shown")
+
+
+@query
+def q84_canonical_json(spark, d):
+    body = F.concat(F.lit('{"z": '), "props", F.lit(', "a": {"y": [1, {"q": 2, "b": 3}], "c": "'), "kind", F.lit('"}}'))
+    return _raw_facts(spark, d).select("lsn", F.sha2(values.canonical_json(body), 256).alias("digest"))
+
+
+@query
+def q85_redact_json(spark, d):
+    body = F.concat(F.lit('{"user_token": "t'), F.col("lsn").cast("string"), F.lit('", "inner": {"Password": 12, "kind": "'), "kind", F.lit('"}}'))
+    return _raw_facts(spark, d).select("lsn", text.redact_json_text(body).alias("shown"))
+
+
+@query
+def q86_policy_rules(spark, d):
+    """Pages as requests of one or two specs, under the rules of two layers that are rows of a table."""
+    empty = dict.fromkeys((x.split()[0] for x in policies.RULE.split(", ")))
+    rule = lambda **k: tuple((empty | k).values())
+    rules = spark.createDataFrame([
+        rule(layer="plugin", id="any", action="net", ask=False, family="any"), rule(layer="plugin", id="note", action="email", ask=False, family="email", names=["a@x", "b@x"]),
+        rule(layer="workflow", id="plain", action="net", ask=True, family="net", methods=["get"], url_prefix="http://ththre.example.com"), rule(layer="workflow", id="all", action="net", ask=False, family="net", methods=["GET"], url_prefix="https://m.ththth.example.net/en"),
+        rule(layer="workflow", id="mail", action="email", ask=False, family="email", names=["a@x"]),
+    ], policies.RULE)
+    p = facts.table(spark, d, "pages").select(F.col("page_id").cast("string").alias("request_id"), "page_id", "url")
+    none = lambda kind: F.lit(None).cast(kind)
+    rest = lambda **k: [k.get(name, none(kind)).alias(name) for name, kind in (x.split(" ", 1) for x in policies.SPEC.split(", ")) if name != "request_id"]
+    specs = p.select("request_id", *rest(spec=F.lit(0), action=F.lit("net"), mutating=F.lit(False), method=F.lit("GET"), url=F.col("url")))
+    mails = p.filter("page_id % 3 = 0").select("request_id", *rest(spec=F.lit(1), action=F.lit("email"), mutating=F.lit(True), recipients=F.array(F.when(F.col("page_id") % 2 == 0, "a@x").otherwise("b@x"))))
+    out = policies.check_requests(p, specs.unionByName(mails), rules, ["plugin", "workflow"])
+    return out.select(F.col("request_id").cast("long").alias("page_id"), "decision", F.array_join("matched", ",").alias("matched"))
+
+
+@query
+def q87_cron_fire(spark, d):
+    """Each fact as a tick of its run's schedule, active from the day after its first one, that has fired at the tick before."""
+    run = Window.partitionBy("run_id")
+    at = F.col("ts").cast("timestamp_ntz")
+    ticks = _raw_facts(spark, d).select("lsn", "run_id", at.alias("at"), F.min(at).over(run).alias("first"), F.lag(cron.previous_slot("30 */6 * * *", at)).over(run.orderBy("lsn")).alias("last"))
+    slot = cron.due_slot("30 */6 * * *", F.col("at"), F.col("first") + F.expr("interval 1 day"), F.col("last"))
+    return ticks.select("lsn", F.date_format(slot, "yyyy-MM-dd HH:mm:ss").alias("slot"))
+
+
+@query
+def q88_key_parts(spark, d):
+    e = _raw_facts(spark, d)
+    body = F.concat(F.lit('{"status": "'), "kind", F.lit('", "name": null, "workflow_id": "'), F.col("run_id").cast("string"), F.lit('"}'))
+    key = F.when(F.col("lsn") % 2 == 0, F.to_json(F.array(F.col("run_id").cast("string"), F.col("kind")))).otherwise(F.to_json(F.array(F.col("run_id").cast("string"))))
+    rows = reads.body_columns(e.select("lsn", key.alias("key"), body.alias("body")))
+    return rows.select("lsn", reads.key_parts(F.col("key"))["parent"].alias("parent"), reads.key_parts(F.col("key"))["slot"].alias("slot"), "workflow_id", "status", "name")
+
+
+@query
+def q89_depth_limit(spark, d):
+    """Values that nest as deep as their k says."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    return _raw_facts(spark, d).select("lsn", contracts.too_deep(F.concat(F.repeat(F.lit("["), k), F.lit('"[[["'), F.repeat(F.lit("]"), k))).alias("too_deep"))
+
+
+@query
+def q90_template_objects(spark, d):
+    """Arrays and structs within text are written as JSON."""
+    columns = {"input.kinds": F.array("kind", F.lit("x")), "input.who": F.struct(F.col("run_id").alias("id"), F.lit(None).cast("string").alias("name"))}
+    return _raw_facts(spark, d).select("lsn", values.template("${input.kinds} by ${input.who}", columns).alias("written"))
+
+
+@query
+def q91_recent_receipts(spark, d):
+    """The receipts that a store of 64 still holds."""
+    return fold.recent_receipts(_raw_facts(spark, d).select("lsn", "run_id", "kind"), "lsn", 64)
+
+
+@query
+def q92_fold_approvals(spark, d):
+    """Views ask, purchases allow and errors deny, user by user."""
+    names = F.when(F.col("kind") == "view", "permission_asked").when(F.col("kind").isin("purchase", "error"), "permission_decided")
+    log = _raw_facts(spark, d).select("run_id", "lsn", names.alias("kind"), F.when(F.col("kind") == "purchase", "allow").when(F.col("kind") == "error", "deny").alias("decision")).filter("kind is not null")
+    return fold.fold_approvals(log, ["run_id"], "lsn")
+
+
+@query
+def q93_workflow_assembly(spark, d):
+    """Brands as workflows and parts of a size as versions."""
+    p = facts.table(spark, d, "part").groupBy(F.col("p_brand").alias("workflow_id"), F.col("p_size").alias("version")).agg(F.max("p_name").alias("body"), (F.max("p_partkey") % 2 == 0).alias("published"))
+    out = assembly.assemble_workflows(p.select("workflow_id").distinct(), p)
+    return out.select("workflow_id", F.array_join(F.transform(F.map_entries("versions"), lambda x: F.concat_ws("=", x["key"], x["value"])), ",").alias("versions"), "latest", "published_version")
+
+
+@query
+def q94_run_attempts_assembly(spark, d):
+    """Orders as runs with their lines as nodes, and lines of one number as attempts."""
+    a = facts.line_nodes(facts.table(spark, d, "lineitem"))
+    nodes = a.groupBy("run_id", "node_id").agg(F.max_by("status", "attempt").alias("status"))
+    out = assembly.assemble_runs(_runs(spark, d).select("run_id"), nodes, a)
+    line = lambda x: F.concat(x["key"].cast("string"), F.lit(":"), x["value"]["status"], F.lit("("), F.array_join(x["value"]["attempts"], "|"), F.lit(")"))
+    return out.select("run_id", F.array_join(F.transform(F.map_entries("nodes"), line), ",").alias("nodes"))
+
+
+@query
+def q95_start_refusals(spark, d):
+    """Suppliers as nodes of their nations' workflows: which may not start for want of permissions or grants."""
+    s = facts.table(spark, d, "supplier")
+    nodes = s.select(F.col("s_nationkey").alias("workflow_id"), F.col("s_suppkey").alias("node_id"), F.when(F.col("s_suppkey") % 3 == 0, "http_call").otherwise("script").alias("type"), F.when(F.col("s_suppkey") % 5 == 0, F.concat(F.lit("p"), (F.col("s_suppkey") % 2).cast("string"))).alias("plugin_id"))
+    n = facts.table(spark, d, "nation").filter("n_regionkey <> 1").select(F.col("n_nationkey").alias("workflow_id"), F.when(F.col("n_regionkey") == 2, "bypass").otherwise("normal").alias("mode"))
+    return policies.start_refusals(nodes, n, spark.createDataFrame([("p0",)], "plugin_id string"), ("http_call", "harness", "email", "llm"))
