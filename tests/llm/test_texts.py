@@ -49,15 +49,37 @@ def test_exact_dedup_state_goes_on_from_where_it_ended(spark, tmp_path):
     landed, state, out = (str(tmp_path / x) for x in ("landed", "state", "out"))
     exact_dedup.digest_rows(one).write.parquet(landed)
     read = lambda: spark.readStream.schema(spark.read.parquet(landed).schema).parquet(landed)
-    exact_dedup.stream_keepers(read(), state, out)
+    assert exact_dedup.stream_keepers(read(), state, out, spark.read.parquet(landed), one) == []
     exact_dedup.digest_rows(table(spark)).write.mode("append").parquet(landed)
-    exact_dedup.stream_keepers(read(), state, out)
+    assert exact_dedup.stream_keepers(read(), state, out, spark.read.parquet(landed), one.union(table(spark))) == []
     kind = one.schema["doc_id"].dataType
     got = {r["digest"]: tuple(r)[1:] for r in exact_dedup.latest_keepers(spark, out, kind).collect()}
     want = {r["digest"]: tuple(r)[1:] for r in exact_dedup.keepers(spark.read.parquet(landed)).collect()}
     assert got == want
 
 
+def test_a_resumed_stream_checks_the_bytes_of_its_hits(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: F.lit("same"))
+    rows = [(i, t, None, None, 1, "x", "y", "z", 1, False, "q") for i, t in enumerate(["aa", "a a", "b"])]
+    first, both = table(spark, rows[:2]), table(spark, rows)
+    landed, state, out = (str(tmp_path / x) for x in ("landed", "state", "out"))
+    read = lambda: spark.readStream.schema(spark.read.parquet(landed).schema).parquet(landed)
+    exact_dedup.digest_rows(first).write.parquet(landed)
+    assert exact_dedup.stream_keepers(read(), state, out, spark.read.parquet(landed), first) == []
+    exact_dedup.digest_rows(table(spark, rows[2:])).write.mode("append").parquet(landed)
+    assert exact_dedup.stream_keepers(read(), state, out, spark.read.parquet(landed), both) == ["same"]
+
+
+def test_the_locator_names_the_file_that_holds_the_text(spark, tmp_path):
+    table(spark).write.parquet(str(tmp_path / "docs"))
+    held = spark.read.parquet(str(tmp_path / "docs"))
+    best = exact_dedup.keepers(exact_dedup.digest_rows(held)).filter("keep_id = 7").first()
+    text = next(d[1] for d in documents() if d[0] == 7)
+    assert spark.read.parquet(best["keep_locator"]).filter("doc_id = 7").first()["text"] == text
+
+
 def test_texts_of_one_digest_are_told_apart_by_their_bytes(spark, monkeypatch):
     from pyspark.sql import functions as F
 
