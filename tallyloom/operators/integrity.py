@@ -59,3 +59,22 @@ def projection_differences(replayed: DataFrame, stored: DataFrame, keys: list[st
     r, s = replayed.select(*keys, F.col(body).alias("replayed"), F.lit(True).alias("_r")), stored.select(*keys, F.col(body).alias("stored"), F.lit(True).alias("_s"))
     kind = F.when(F.col("_s").isNull(), "missing").when(F.col("_r").isNull(), "unexpected").when(~F.col("replayed").eqNullSafe(F.col("stored")), "differs")
     return r.join(s, keys, "full_outer").withColumn("difference", kind).filter(F.col("difference").isNotNull()).select(*keys, "difference", "replayed", "stored")
+
+
+def verify_transactions(transactions: DataFrame, events: DataFrame) -> DataFrame:
+    """(lsn, problem) of transactions (lsn, n_events, digest, prev_digest, chain_digest) that don't hold with their events (lsn, event_index, digest).
+
+    Checked are the number and numbering of events, the digest of their digests in order, the
+    link to the transaction before, and the numbering of transactions from 1. Events of no
+    transaction are reported too.
+    """
+    held = events.groupBy("lsn").agg(F.count("*").alias("n"), (F.max("event_index") + 1).alias("top"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_index", "digest"))), lambda x: x["digest"]), ""), 256).alias("found"))
+    both = transactions.withColumn("_t", F.lit(True)).join(held, "lsn", "full_outer")
+    last = transactions.select((F.col("lsn") + 1).alias("lsn"), F.col("lsn").alias("_lsn"), F.col("chain_digest").alias("_last"))
+    before = both.filter("_t").join(last, "lsn", "left").withColumn("_before", F.coalesce("_last", F.when(F.col("lsn") == 1, "")))
+    problems = F.filter(F.array(
+        F.when(F.coalesce("n", F.lit(0)) != F.col("n_events"), "event count"), F.when(F.coalesce("top", F.lit(0)) != F.coalesce("n", F.lit(0)), "event numbering"), F.when(F.col("n_events") > 0, F.when(~F.col("found").eqNullSafe(F.col("digest")), "digest")),
+        F.when(~F.col("prev_digest").eqNullSafe(F.col("_before")), "previous digest"), F.when(~F.col("chain_digest").eqNullSafe(chain_digest(F.col("prev_digest"), F.col("digest"))), "chain"), F.when((F.col("lsn") > 1) & F.col("_lsn").isNull(), "numbering"),
+    ), lambda x: x.isNotNull())
+    out = before.select("lsn", F.explode(problems).alias("problem"))
+    return out.unionByName(both.filter("_t is null").select("lsn", F.lit("events of no transaction").alias("problem")))

@@ -18,6 +18,15 @@ def newest_within(rows: DataFrame, keys: list[str], order: str, size: Column, bu
     return rows.withColumn("running_bytes", F.sum(size.cast("long")).over(w)).filter(F.col("running_bytes") <= budget)
 
 
+def losses(rows: DataFrame, keys: list[str], order: str, size: Column, budget: int, longest: int) -> DataFrame:
+    """Per key what a bounded log of its rows lets go: rows and bytes beyond the budget, and rows cut to ``longest`` bytes."""
+    cut = F.least(size.cast("long"), F.lit(longest))
+    w = Window.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    marked = rows.withColumns({"_cut": cut, "_long": (size > longest).cast("long"), "_upto": F.sum(cut).over(w)})
+    gone = F.col("_upto") > budget
+    return marked.groupBy(*keys).agg(F.count_if(gone).alias("rows_dropped"), F.coalesce(F.sum(F.when(gone, F.col("_cut"))), F.lit(0)).alias("bytes_dropped"), F.sum("_long").alias("rows_cut"))
+
+
 def newest_rows(rows: DataFrame, keys: list[str], order: str, most: int) -> DataFrame:
     return rows.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).filter(F.col("_place") <= most).drop("_place")
 
@@ -29,6 +38,20 @@ def replay_state(cursor: int, oldest: int, newest: int) -> str:
     return "resync_required" if cursor < oldest - 1 else "complete" if cursor <= newest else "ahead"
 
 
+def replay(subscribers: DataFrame, window: DataFrame) -> DataFrame:
+    """Subscribers (id, run_id, cursor) with what they get from their run's retained window (run_id, seq): reply and how many rows.
+
+    From the start with rows missing it is a gap, before the window's begin a resync, else
+    what is newer than the cursor.
+    """
+    held = window.groupBy("run_id").agg(F.min("seq").alias("oldest"), F.max("seq").alias("newest"))
+    both = subscribers.join(held, "run_id", "left")
+    cursor = F.col("cursor")
+    reply = F.when(F.col("oldest").isNull(), "complete").when(cursor == 0, F.when(F.col("oldest") > 1, "gap").otherwise("complete")).when(cursor < F.col("oldest") - 1, "resync_required").when(cursor <= F.col("newest"), "complete").otherwise("ahead")
+    sent = F.when(reply.isin("resync_required", "ahead"), 0).otherwise(F.greatest(F.lit(0), F.col("newest") - F.greatest(cursor, F.col("oldest") - 1)))
+    return both.select("id", "run_id", reply.alias("reply"), F.coalesce(sent, F.lit(0)).cast("long").alias("n_rows"))
+
+
 def log_level(label: Column) -> Column:
     """A log row's class by what its label says."""
     low = F.lower(label)

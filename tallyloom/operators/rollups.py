@@ -14,8 +14,11 @@ def run_counts(runs: DataFrame, workflow_id=None) -> DataFrame:
     return runs.groupBy("workflow_id", "status").agg(F.count("*").alias("n_runs"))
 
 
-def run_stats(runs: DataFrame) -> DataFrame:
-    """Counts by workflow and state, by workflow, by state and of all, in one pass; level tells which: 0, 1, 2, 3."""
+def run_stats(runs: DataFrame, workflow_id=None) -> DataFrame:
+    """Counts by workflow and state, by workflow, by state and of all, in one pass; level tells which: 0, 1, 2, 3. Of one workflow, by state and of all only."""
+    if workflow_id is not None:
+        mine = runs.filter(F.col("workflow_id") == workflow_id)
+        return mine.rollup("status").agg(F.count("*").alias("n_runs"), (F.grouping_id() + 2).cast("long").alias("level")).select(F.lit(None).cast(runs.schema["workflow_id"].dataType).alias("workflow_id"), "status", "n_runs", "level")
     return runs.cube("workflow_id", "status").agg(F.count("*").alias("n_runs"), F.grouping_id().cast("long").alias("level"))
 
 
@@ -53,6 +56,14 @@ def merge_losses(counters: DataFrame, keys: list[str], fields: list[str], flag:
     return counters.groupBy(*keys).agg(*[F.max(c).alias(c) for c in fields], F.bool_or(flag).alias(flag))
 
 
+def observation_loss(counters: DataFrame, fields: list[str], flag: str, per_dispatch: bool = False) -> DataFrame:
+    """Losses by run and dispatch as its readers saw them most, or summed over the run's dispatches."""
+    each = merge_losses(counters, ["run_id", "dispatch_id"], fields, flag)
+    if per_dispatch:
+        return each
+    return each.groupBy("run_id").agg(*[F.sum(c).alias(c) for c in fields], F.bool_or(flag).alias(flag))
+
+
 def session_stats(log: DataFrame, session: str, pos: str, is_mark, is_head, size) -> DataFrame:
     """Per session what lies after its last mark: rows, groups (a head and the rows until the next), size, and the share of heads.
 

@@ -184,4 +184,20 @@ ORACLE_SQL = {
         SELECT o_orderkey AS run_id, coalesce(string_agg(node, ',' ORDER BY l_linenumber), '') AS nodes FROM orders LEFT JOIN m ON l_orderkey = o_orderkey GROUP BY 1""",
     "q95_start_refusals": """WITH s AS (SELECT s_nationkey AS workflow_id, s_suppkey AS node_id, s_suppkey % 3 = 0 AS outside, CASE WHEN s_suppkey % 5 = 0 THEN 'p' || s_suppkey % 2 END AS plugin, n_regionkey AS r FROM supplier JOIN nation ON n_nationkey = s_nationkey),
         t AS (SELECT workflow_id, node_id, CASE WHEN r = 1 THEN CASE WHEN outside OR plugin IS NOT NULL THEN 'no permissions' END WHEN r <> 2 AND plugin = 'p1' THEN 'plugin not granted' END AS reason FROM s) SELECT * FROM t WHERE reason IS NOT NULL""",
+    "q96_compare_run_trees": """WITH RECURSIVE t AS (SELECT o_orderkey AS k, o_orderkey // 4 AS p, o_orderkey % 4 AS node, o_orderstatus AS status, round(o_totalprice, -5) AS size FROM orders),
+        w(pair_id, path, b, c) AS (SELECT * FROM (VALUES (1, '', 1::BIGINT, 2::BIGINT), (2, '', 2::BIGINT, 3::BIGINT)) UNION ALL
+            SELECT pair_id, path || '/' || n, CASE WHEN EXISTS (SELECT 1 FROM t WHERE k = b * 4 + n) THEN b * 4 + n END, CASE WHEN EXISTS (SELECT 1 FROM t WHERE k = c * 4 + n) THEN c * 4 + n END FROM w, range(0, 4) r(n)
+            WHERE EXISTS (SELECT 1 FROM t WHERE k = b * 4 + n) OR EXISTS (SELECT 1 FROM t WHERE k = c * 4 + n)),
+        x AS (SELECT pair_id, path, node, status, size FROM w JOIN t ON k = b), y AS (SELECT pair_id, path, node, status, size FROM w JOIN t ON k = c)
+        SELECT coalesce(x.pair_id, y.pair_id) AS pair_id, coalesce(x.path, y.path) AS path, coalesce(x.node, y.node) AS node, CASE WHEN x.pair_id IS NULL THEN 'added' WHEN y.pair_id IS NULL THEN 'removed' WHEN x.status <> y.status OR x.size <> y.size THEN 'changed' ELSE 'same' END AS verdict,
+        CASE WHEN x.pair_id IS NULL OR y.pair_id IS NULL THEN '' ELSE concat_ws(',', CASE WHEN x.status <> y.status THEN 'status' END, CASE WHEN x.size <> y.size THEN 'size' END) END AS changed
+        FROM x FULL JOIN y ON x.pair_id = y.pair_id AND x.path = y.path AND x.node = y.node""",
+    "q97_collect_fixtures": """WITH RECURSIVE w(root, run, path) AS (SELECT o_orderkey, o_orderkey, '' FROM orders WHERE o_orderkey IN (1, 2, 3) UNION ALL SELECT root, o_orderkey, path || '/' || o_orderkey % 4 FROM w JOIN orders ON o_orderkey >= 4 AND o_orderkey // 4 = run),
+        o AS (SELECT root, path || '/' || l_linenumber AS path, CAST(max(l_partkey) AS VARCHAR) AS fingerprint, max(l_returnflag) AS outcome FROM w JOIN lineitem ON l_orderkey = run GROUP BY root, w.path, l_linenumber)
+        SELECT root, path, CASE WHEN root = 1 AND path = '/1' THEN 'own' WHEN root = 2 AND path = '/0/2' THEN NULL ELSE fingerprint END AS fingerprint, CASE WHEN root = 1 AND path = '/1' THEN 'X' WHEN root = 2 AND path = '/0/2' THEN 'Y' ELSE outcome END AS outcome FROM o""",
+    "q98_run_stats_of_workflow": f"WITH {_RUNS} SELECT CAST(NULL AS BIGINT) AS workflow_id, status, count(*) AS n_runs, CAST(grouping(status) + 2 AS BIGINT) AS level FROM runs WHERE workflow_id = 1 GROUP BY ROLLUP (status)",
+    "q99_log_losses": """WITH c AS (SELECT source, doc_id, least(octet_length(encode(text)), 3000) AS n, octet_length(encode(text)) > 3000 AS long FROM documents), u AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING) AS upto FROM c)
+        SELECT source, count(*) FILTER (WHERE upto > 50000) AS rows_dropped, CAST(coalesce(sum(n) FILTER (WHERE upto > 50000), 0) AS BIGINT) AS bytes_dropped, count(*) FILTER (WHERE long) AS rows_cut FROM u GROUP BY 1""",
+    "q100_verify_transactions": """WITH t AS (SELECT DISTINCT l_orderkey + 1 AS k FROM lineitem) SELECT problem, count(*) AS n FROM (SELECT 'event count' AS problem FROM t WHERE k % 10 = 0 UNION ALL SELECT 'digest' FROM t WHERE k % 11 = 0
+        UNION ALL SELECT 'numbering' FROM t WHERE k > 1 AND k - 1 NOT IN (SELECT k FROM t) UNION ALL SELECT 'previous digest' FROM t WHERE k > 1 AND k - 1 NOT IN (SELECT k FROM t)) GROUP BY 1""",
 }

@@ -151,3 +151,21 @@ def problems(d: Definition, plugins: frozenset[str] = frozenset()) -> list[tuple
             except ValueError as error:
                 say(name, error)
     return out
+
+
+#: What of a template's nodes and edges is kept (fixed values).
+NODE_FIELDS, EDGE_FIELDS = ("id", "type", "name", "position", "params"), ("from", "to", "port")
+
+
+def normalise_fragment(fragment: dict) -> dict:
+    """A template's nodes and edges with the known fields only; an edge to a node outside, a node twice, or one without id or type is an error."""
+    nodes = [{k: n[k] for k in NODE_FIELDS if n.get(k) is not None} for n in fragment.get("nodes", ())]
+    edges = [{k: e[k] for k in EDGE_FIELDS if e.get(k) is not None} for e in fragment.get("edges", ())]
+    if any(not isinstance(n.get(k), str) or not n[k] for n in nodes for k in ("id", "type")):
+        raise ValueError("a fragment's nodes need an id and a type")
+    names = [n["id"] for n in nodes]
+    if len(set(names)) < len(names):
+        raise ValueError("a fragment's nodes are named once")
+    if any(e.get(k) not in names for e in edges for k in ("from", "to")):
+        raise ValueError("a fragment's edges lead from and to its own nodes")
+    return {"nodes": nodes, "edges": edges}

@@ -746,3 +746,52 @@ def q95_start_refusals(spark, d):
     nodes = s.select(F.col("s_nationkey").alias("workflow_id"), F.col("s_suppkey").alias("node_id"), F.when(F.col("s_suppkey") % 3 == 0, "http_call").otherwise("script").alias("type"), F.when(F.col("s_suppkey") % 5 == 0, F.concat(F.lit("p"), (F.col("s_suppkey") % 2).cast("string"))).alias("plugin_id"))
     n = facts.table(spark, d, "nation").filter("n_regionkey <> 1").select(F.col("n_nationkey").alias("workflow_id"), F.when(F.col("n_regionkey") == 2, "bypass").otherwise("normal").alias("mode"))
     return policies.start_refusals(nodes, n, spark.createDataFrame([("p0",)], "plugin_id string"), ("http_call", "harness", "email", "llm"))
+
+
+def _order_tree(spark, d) -> DataFrame:
+    """Orders as runs, each below the one of a quarter of its key, begun by one of four nodes."""
+    key = F.col("o_orderkey")
+    return facts.table(spark, d, "orders").select(key.alias("run_id"), F.when(key >= 4, F.floor(key / 4)).alias("parent_id"), (key % 4).alias("parent_node"), F.col("o_orderstatus").alias("status"), F.round("o_totalprice", -5).alias("size"))
+
+
+@query
+def q96_compare_run_trees(spark, d):
+    """The orders of even root keys against those of the next root, run by run down the tree."""
+    runs = _order_tree(spark, d)
+    pairs = differences.run_pairs(runs, runs, spark.createDataFrame([(1, 1, 2), (2, 2, 3)], "pair_id int, b_run long, c_run long"))
+    nodes = runs.withColumn("node", F.col("parent_node"))
+    out = differences.compare_run_trees(pairs, nodes, nodes, "node", ["status", "size"])
+    return out.select("pair_id", "path", "node", "verdict", "changed")
+
+
+@query
+def q97_collect_fixtures(spark, d):
+    """What the lines of three orders and of all orders below them were, a line of each part of the tree being overridden."""
+    runs = _order_tree(spark, d)
+    outcomes = facts.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("node_id")).agg(F.max("l_partkey").cast("string").alias("fingerprint"), F.max("l_returnflag").alias("outcome"))
+    over = spark.createDataFrame([(1, "/1", "own", "X"), (2, "/0/2", None, "Y")], "root long, path string, fingerprint string, outcome string")
+    return differences.collect_fixtures(runs, outcomes, spark.createDataFrame([(1,), (2,), (3,)], "root long"), over, most_runs=1 << 30)
+
+
+@query
+def q98_run_stats_of_workflow(spark, d):
+    return rollups.run_stats(_runs(spark, d), 1)
+
+
+@query
+def q99_log_losses(spark, d):
+    """Documents as the lines of a bounded log of each source."""
+    docs = facts.table(spark, d, "documents")
+    return retention.losses(docs, ["source"], "doc_id", F.octet_length("text"), 50_000, 3000)
+
+
+@query
+def q100_verify_transactions(spark, d):
+    """Orders as transactions of their lines: sound but for each tenth's count and each eleventh's digest."""
+    line = facts.table(spark, d, "lineitem").groupBy((F.col("l_orderkey") + 1).alias("lsn"), F.col("l_linenumber").alias("n")).agg(F.sha2(F.max("l_partkey").cast("string"), 256).alias("digest"))
+    events = line.select("lsn", (F.row_number().over(Window.partitionBy("lsn").orderBy("n")) - 1).alias("event_index"), "digest")
+    per = events.groupBy("lsn").agg(F.count("*").alias("n_events"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_index", "digest"))), lambda x: x["digest"]), ""), 256).alias("digest"))
+    link = F.sha2(F.col("lsn").cast("string"), 256)
+    prev = lambda n: F.when(F.col("lsn") == 1, "").otherwise(F.sha2((F.col("lsn") - n).cast("string"), 256))
+    tx = per.select("lsn", F.when(F.col("lsn") % 10 == 0, F.col("n_events") + 1).otherwise(F.col("n_events")).alias("n_events"), F.when(F.col("lsn") % 11 == 0, "x").otherwise(F.col("digest")).alias("digest"), prev(1).alias("prev_digest"), link.alias("chain_digest"))
+    return integrity.verify_transactions(tx, events).filter("problem <> 'chain'").groupBy("problem").agg(F.count("*").alias("n"))

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tallyloom.functions.text import grep_lines
+
 FACTS = T.StructType([
     T.StructField("lsn", T.LongType()), T.StructField("event_index", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("run_id", T.StringType()),
     T.StructField("run_seq", T.LongType()), T.StructField("node_id", T.StringType()), T.StructField("dispatch_id", T.StringType()), T.StructField("audit_seq", T.LongType()), T.StructField("payload", T.StringType()),
@@ -58,6 +60,30 @@ def read_observations(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter(F.col("_corrupt").isNull() & F.col("seq").isNotNull()).drop("_corrupt")
 
 
+def read_sessions(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Session rows from JSON lines, whatever their columns; a torn last line, or any that doesn't parse, is left out, and ``torn_lines`` tells how many."""
+    fields = T.StructType.fromDDL(schema).add("_corrupt", "string")
+    return spark.read.schema(fields).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path).filter("_corrupt is null").drop("_corrupt")
+
+
+def torn_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, n) of files with lines that are no JSON."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    return lines.filter((F.trim("value") != "") & F.try_parse_json("value").isNull()).groupBy("path").agg(F.count("*").alias("n"))
+
+
+def grep_files(spark: SparkSession, path: str, pattern: str, glob: str = "*", ignore_case: bool = False, most: int = 1000) -> DataFrame:
+    """(path, line, match) of the first ``most`` lines below a folder that a pattern is found in, by path and line from 1."""
+    files = spark.read.option("wholetext", "true").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path)
+    found = files.select(F.col("_metadata.file_path").alias("path"), F.inline(grep_lines(F.col("value"), pattern, ignore_case)))
+    return found.orderBy("path", "line").limit(most)
+
+
+def values_within(values: DataFrame, budget: int) -> DataFrame:
+    """Values whose bytes (total_bytes) keep to the budget; the others with a null body, for their sizes are told and not fetched."""
+    return values.withColumn("body", F.when(F.col("total_bytes") <= budget, F.col("body")))
+
+
 def write_run_bundle(facts: DataFrame, run_id: str, path: str) -> None:
     """One run's facts as JSON lines in log order."""
     facts.filter(F.col("run_id") == run_id).repartitionByRange(4, "lsn", "event_index").sortWithinPartitions("lsn", "event_index").write.mode("errorifexists").json(path)
