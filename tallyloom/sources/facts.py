@@ -74,7 +74,7 @@ def torn_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def grep_files(spark: SparkSession, path: str, pattern: str, glob: str = "*", ignore_case: bool = False, most: int = 1000) -> DataFrame:
     """(path, line, match) of the first ``most`` lines below a folder that a pattern is found in, by path and line from 1."""
-    files = spark.read.option("wholetext", "true").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path)
+    files = spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
     found = files.select(F.col("_metadata.file_path").alias("path"), F.inline(grep_lines(F.col("value"), pattern, ignore_case)))
     return found.orderBy("path", "line").limit(most)
 
