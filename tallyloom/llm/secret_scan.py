@@ -37,13 +37,13 @@ def _matches(text: Column, kind: str, pattern: str, group: int, least: int) -> C
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 200) -> DataFrame:
     """One row per document: id, spans array<struct<start, rank, end, kind>> sorted by start, then kind.
 
-    Base kinds stand alone. A weak kind is reported only beside a complementary part: within
-    ``reach`` characters of it and in its scope (no blank line between) there is an access
-    part or an endpoint for a weak secret, and a secret for an access part or an endpoint; it
-    must not overlap a base span. The value of an access part is no secret of its own, and an
-    endpoint does not hold what lies within it. The interval join asks each candidate for the
-    nearest end before and the nearest start after it of each part, so a scope's pairs are
-    never listed.
+    Base kinds stand alone. A part is a span of a base kind, or a weak candidate that overlaps
+    no base span and, if a secret, no access part's value. Two parts are near within ``reach``
+    characters of each other and in one scope (no blank line between). A weak secret is
+    reported beside an access part, or an endpoint that doesn't overlap it; a weak access part
+    or endpoint beside a secret that is of a base kind or reported itself. So no weak part is
+    reported without its complement. The interval joins ask each candidate for the nearest end
+    before and the nearest start after it of each part, so a scope's pairs are never listed.
 
     Places count code points, ends are exclusive. Nulls: a null text is empty, a null id is
     kept. Rows that repeat are reported one by one; an empty table gives no rows. A very long
@@ -69,16 +69,18 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ended, begun = lambda c: F.max(F.when(c, F.col("end"))).over(before), lambda c: F.min(F.when(c, F.col("start"))).over(after)
     near = lambda c: at_most(F.col("start") - ended(c)) | at_most(begun(c) - F.col("end"))
     within = lambda c: F.coalesce(ended(c) > F.col("start"), F.lit(False)) | F.coalesce(begun(c) < F.col("end"), F.lit(False))
-    access, secret, endpoint = (F.col("part") == p for p in ("access", "secret", "endpoint"))
-    placed = placed.withColumns({"taken": (F.col("kind") == "weak_secret") & within(F.col("kind") == "weak_access"), "prior": ended(endpoint)})
-    placed = placed.withColumn("part", F.when(~F.coalesce("taken", F.lit(False)), F.col("part")))
-    # Endpoints don't overlap, so of those that begin before a secret only the last can reach into it; the one before that is its ``prior``.
-    apart = F.when(ended(endpoint) <= F.col("start"), ended(endpoint)).otherwise(F.max(F.when(endpoint, F.col("prior"))).over(before))
-    endpoint_near = at_most(F.col("start") - apart) | at_most(begun(endpoint) - F.col("end"))
-    linked = placed.withColumns({"secret_near": near(secret), "access_near": near(access), "endpoint_near": endpoint_near, "covered": within(F.col("base"))})
-    held = F.col("base") | ~F.col("covered") & F.when(secret, F.col("access_near") | F.col("endpoint_near")).when(F.col("part").isNotNull(), F.col("secret_near")).otherwise(F.lit(False))
-    span = F.when(held & (F.col("kind") != "break"), F.struct("start", "rank", "end", "kind"))
-    return linked.groupBy("row").agg(F.first("id").alias(id_col), F.array_sort(F.collect_list(span)).alias("spans")).drop("row")
+    placed = placed.withColumns({"taken": (F.col("kind") == "weak_secret") & within(F.col("kind") == "weak_access"), "covered": within(F.col("base"))})
+    placed = placed.withColumn("part", F.when(F.col("base") | ~F.coalesce("taken", F.lit(False)) & ~F.col("covered"), F.col("part")))
+    access, secret, endpoint = (F.coalesce(F.col("part") == p, F.lit(False)) for p in ("access", "secret", "endpoint"))
+    # Endpoints don't overlap, so only the last that begins before a secret can reach into it, and only the first that begins later can begin within it.
+    placed = placed.withColumns({"prior": F.when(endpoint, ended(endpoint)), "next": F.when(endpoint, begun(endpoint))})
+    left = F.when(ended(endpoint) <= F.col("start"), ended(endpoint)).otherwise(F.max("prior").over(before))
+    right = F.when(begun(endpoint) >= F.col("end"), begun(endpoint)).otherwise(F.min("next").over(after))
+    endpoint_near = at_most(F.col("start") - left) | at_most(right - F.col("end"))
+    placed = placed.withColumn("held", F.col("base") | secret & (near(access) | endpoint_near))
+    placed = placed.withColumn("shown", F.col("held") | (access | endpoint) & near(secret & F.col("held")))
+    span = F.when(F.col("shown") & (F.col("kind") != "break"), F.struct("start", "rank", "end", "kind"))
+    return placed.groupBy("row").agg(F.first("id").alias(id_col), F.array_sort(F.collect_list(span)).alias("spans")).drop("row")
 
 
 def span_text(spans: Column) -> Column:
