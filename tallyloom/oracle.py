@@ -154,7 +154,7 @@ ORACLE_SQL = {
         SELECT run_id, CASE WHEN k <= 50 THEN 'succeeded' WHEN made < 3 THEN 'waiting' ELSE 'failed' END AS risky, CASE WHEN k <= 50 THEN 'succeeded' WHEN made < 3 THEN 'running' ELSE 'failed' END AS run_status,
         CASE WHEN k <= 50 THEN CAST(k AS VARCHAR) END AS run_output, CASE WHEN k > 50 AND made >= 3 THEN 'too large: ' || k END AS run_error FROM r""",
     "q78_dag_http_status": """SELECT page_id AS run_id, CASE WHEN page_id % 5 = 0 THEN 'failed' ELSE 'succeeded' END AS fetch, CASE WHEN page_id % 5 = 0 THEN 'upstream_failed' END AS end_reason, CASE WHEN page_id % 5 = 0 THEN 'failed' ELSE 'succeeded' END AS run_status,
-        CASE WHEN page_id % 5 <> 0 THEN CAST(to_json(url) AS VARCHAR) END AS run_output, CASE WHEN page_id % 5 = 0 THEN 'HTTP status 404' END AS run_error FROM pages""",
+        CASE WHEN page_id % 5 <> 0 THEN '{"status":200,"headers":{},"body":' || CAST(to_json(url) AS VARCHAR) || '}' END AS run_output, CASE WHEN page_id % 5 = 0 THEN 'HTTP status 404' END AS run_error FROM pages""",
     "q79_dag_llm_contract": f"""WITH e AS (SELECT event_id AS run_id, CASE WHEN event_type = 'error' THEN 'the reply is no JSON' WHEN event_type = 'signup' THEN 'response contract: $.k: required property missing' WHEN {_K} > 60 THEN 'response contract: $.k: number outside bounds' END AS run_error, {_K} AS k FROM events)
         SELECT run_id, CASE WHEN run_error IS NULL THEN 'succeeded' ELSE 'failed' END AS run_status, CASE WHEN run_error IS NULL THEN '{{"k":' || k || '}}' END AS run_output, run_error FROM e""",
     "q80_cancel_cascade": f"""WITH RECURSIVE {_RUNS}, w(root, run_id, depth) AS (SELECT run_id, run_id, 0 FROM runs WHERE status = 'running' UNION ALL SELECT root, r.run_id, depth + 1 FROM w JOIN runs r ON r.run_id >= 4 AND r.run_id // 4 = w.run_id WHERE r.status <> 'succeeded')

@@ -176,7 +176,9 @@ def _as_json(body: Column) -> Column:
 def _played(node: Node, runs: DataFrame) -> tuple[Column, Column, Column]:
     """Output, error and whether no outcome is known, of a node that acts on the outside, from what was recorded.
 
-    A status of 400 or more, or an exit code but 0, is a failure. A command's reply is an
+    A status of 400 or more, or an exit code but 0, is a failure. Where ``runs`` has statuses,
+    a call's output is an object of status, headers (from reply_headers, a map to JSON
+    objects) and body; else it is the body. A command's reply is an
     object of exit_code, stdout and stderr, to which what stdout holds is added as result if
     it is an object or array. A sent mail gives status and id. A model's reply must be JSON
     that keeps the node's response_schema.
@@ -186,6 +188,13 @@ def _played(node: Node, runs: DataFrame) -> tuple[Column, Column, Column]:
     parsed = F.try_parse_json(reply)
     unknown = reply.isNull()
     refused = F.when(unknown, "no recorded outcome").when(status >= 400, F.concat(F.lit("HTTP status "), status.cast("string")))
+
+    def shaped(body: Column) -> Column:
+        if "statuses" not in runs.columns:
+            return body
+        headers = F.try_element_at("reply_headers", F.lit(node.id)) if "reply_headers" in runs.columns else F.lit("{}")
+        return F.concat(F.lit('{"status":'), status.cast("string"), F.lit(',"headers":'), F.coalesce(headers, F.lit("{}")), F.lit(',"body":'), body, F.lit("}"))
+
     if node.type == "harness":
         field = lambda name: F.get_json_object(reply, f"$.{name}")
         code = F.coalesce(field("exit_code").try_cast("int"), F.lit(0))
@@ -202,8 +211,8 @@ def _played(node: Node, runs: DataFrame) -> tuple[Column, Column, Column]:
         error = F.coalesce(refused, F.when(parsed.isNull(), "the reply is no JSON"))
         if node.params.get("response_schema") is not None:
             error = F.coalesce(error, F.concat(F.lit("response contract: "), violation(node.params["response_schema"], parsed)))
-        return F.to_json(parsed), error, unknown
-    return _as_json(reply), refused, unknown
+        return shaped(F.to_json(parsed)), error, unknown
+    return shaped(_as_json(reply)), refused, unknown
 
 
 def _with_child(definition: Definition, node: Node, runs: DataFrame, children: Mapping[str, Definition], now_ms: int, name: str, state: dict[str, State], depth: int, plugins: Mapping[str, Plugin] | None) -> DataFrame:

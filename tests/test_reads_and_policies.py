@@ -162,6 +162,7 @@ def played(spark, kind, params, reply, status=200, **options):
 
 def test_nodes_that_act_on_the_outside(spark):
     mail = {"api_key": "k", "from": "a", "to": "b", "subject": "s", "body": "t"}
+    assert played(spark, "http_call", {"url": "u"}, '{"a": 1}') == ("succeeded", '{"status":200,"headers":{},"body":{"a":1}}', None)
     assert played(spark, "http_call", {"url": "u"}, '{"a": 1}', 503) == ("failed", None, "HTTP status 503")
     assert played(spark, "harness", {"prompt": "p"}, '{"exit_code": 0, "stdout": " {\\"a\\": [1]}\\n", "stderr": ""}') == ("succeeded", '{"exit_code":0,"stdout":" {\\"a\\": [1]}\\n","stderr":"","result":{"a":[1]}}', None)
     assert played(spark, "harness", {"prompt": "p"}, '{"exit_code": 0, "stdout": "5", "stderr": "w"}') == ("succeeded", '{"exit_code":0,"stdout":"5","stderr":"w"}', None)
