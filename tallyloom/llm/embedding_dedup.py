@@ -3,6 +3,7 @@
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import groupby
 
 import numpy as np
@@ -17,15 +18,15 @@ from tallyloom.llm.components import components
 
 #: Members, and queries, of a list that one task holds at most.
 BLOCK = 4096
-#: Numbers that the driver's training sample holds at most.
-SAMPLE_FLOATS = 4_000_000
+#: Numbers that the driver's training sample holds at most, and lists there are at most.
+SAMPLE_FLOATS, MOST_LISTS = 4_000_000, 2048
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
     k = min(k, len(x))
     centres = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        near = _distances(x, centres).argmin(1)
+        near = _nearest(x, centres)
         size = np.bincount(near, minlength=k)
         total = np.zeros_like(centres)
         np.add.at(total, near, x)
@@ -40,6 +41,10 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum(0, (x * x).sum(1)[:, None] - 2 * x @ y.T + (y * y).sum(1)[None])
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.concatenate([_distances(x[i : i + 1024], centres).argmin(1) for i in range(0, len(x), 1024)])
+
+
 @dataclass(frozen=True)
 class Quantiser:
     """Coarse centres, and for each run of ``width`` dimensions of the residuals a codebook."""
@@ -51,7 +56,7 @@ class Quantiser:
     def fit(cls, x: np.ndarray, lists: int, subspaces: int = 8, codes: int = 256, rounds: int = 8, seed: int = 3) -> "Quantiser":
         rng = np.random.default_rng(seed)
         centres = _kmeans(x, lists, rounds, rng)
-        rest = cls._cut(x - centres[_distances(x, centres).argmin(1)], subspaces)
+        rest = cls._cut(x - centres[_nearest(x, centres)], subspaces)
         return cls(centres, np.stack([np.resize(_kmeans(rest[:, s], codes, rounds, rng), (codes, rest.shape[2])) for s in range(subspaces)]))
 
     @staticmethod
@@ -66,17 +71,24 @@ class Quantiser:
         back = np.stack([book[codes[:, s]] for s, book in enumerate(self.books)], axis=1)
         return codes.astype(np.uint8), np.sqrt(((rest - back) ** 2).sum((1, 2)))
 
-    def probes(self, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-        """For each vector its nearest list, and the lists (a boolean matrix) that may hold any vector within ``radius`` of it.
+    @cached_property
+    def _apart(self) -> np.ndarray:
+        return 2 * np.sqrt(_distances(self.centres, self.centres))
+
+    def probes(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """For each vector its nearest list, and the lists (a boolean matrix) whose border planes lie within ``reach`` of it.
 
         A vector y in list j is nearer to centre j than to x's centre i; so it lies beyond the
         plane half-way between them, whose distance from x is what is compared.
         """
-        d = _distances(x, self.centres)
-        near = d.argmin(1)
-        apart = 2 * np.sqrt(_distances(self.centres, self.centres))[near]
-        plane = np.divide(d - d[np.arange(len(x)), near][:, None], apart, out=np.zeros_like(d), where=apart > 0)
-        return near, plane <= radius + 1e-9
+        near, within = np.zeros(len(x), np.int64), np.zeros((len(x), len(self.centres)), bool)
+        for at in range(0, len(x), 256):
+            d = _distances(x[at : at + 256], self.centres)
+            own = d.argmin(1)
+            apart = self._apart[own]
+            plane = np.divide(d - d[np.arange(len(d)), own][:, None], apart, out=np.zeros_like(d), where=apart > 0)
+            near[at : at + 256], within[at : at + 256] = own, plane <= reach + 1e-9
+        return near, within
 
     def table_distances(self, queries: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric distances: of each query to each code's reconstruction, by one table look-up a subspace."""
@@ -87,7 +99,7 @@ class Quantiser:
         return np.sqrt(out)
 
 
-def _matched(model: Quantiser, which: int, members: list[tuple], queries: list[tuple], cosine: float, radius: float) -> tuple[np.ndarray, np.ndarray]:
+def _matched(model: Quantiser, which: int, members: list[tuple], queries: list[tuple], cosine: float, radius: float, stored: type) -> tuple[np.ndarray, np.ndarray]:
     """Links of each member, then query, and the group of each, by place: pairs of cosine or more, a vector and itself apart.
 
     A query of the list itself meets its members from both sides, so its pairs count for the
@@ -96,8 +108,9 @@ def _matched(model: Quantiser, which: int, members: list[tuple], queries: list[t
     A distance to a reconstruction is off by at most the member's reconstruction error, so
     that no pair within the radius is missed; all others are left to the exact cosine.
     """
-    x, codes, off = np.stack([np.frombuffer(m[1]) for m in members]), np.stack([np.frombuffer(m[2], np.uint8) for m in members]), np.array([m[3] for m in members])
-    q = np.stack([np.frombuffer(m[1]) for m in queries])
+    width = model.centres.shape[1]
+    x, q = (_units([np.frombuffer(m[1], stored) for m in rows], width) for rows in (members, queries))
+    codes, off = np.stack([np.frombuffer(m[2], np.uint8) for m in members]), np.array([m[3] for m in members])
     place = {}
     for i, m in enumerate(members):
         place.setdefault(m[0], []).append(i)
@@ -124,13 +137,29 @@ def _matched(model: Quantiser, which: int, members: list[tuple], queries: list[t
     return links, group
 
 
-def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.98, lists: int | None = None, seed: int = 3) -> DataFrame:
-    """One row per vector: id, n_links, component_id, kept. All pairs of one label with at least this cosine link, no others.
+def _units(values: list, width: int) -> np.ndarray:
+    """Vectors, shorter ones filled with zeros, at length 1 in double precision."""
+    out = np.zeros((len(values), width))
+    for i, v in enumerate(values):
+        out[i, : len(v)] = v
+    out /= np.abs(out).max(1)[:, None]  # no overflow in the squares
+    return out / np.sqrt((out * out).sum(1))[:, None]
+
+
+def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.98, lists: int | None = None, missed: float = 1e-5, seed: int = 3) -> DataFrame:
+    """One row per vector: id, n_links, component_id, kept. Pairs of one label with at least this cosine link, no others.
 
     The quantiser is fitted on a sample of at most SAMPLE_FLOATS numbers, chosen by hash;
     every vector is coded, put in its list, and sent as a query to its own list and all earlier
-    ones that may hold a vector near enough; later ones send theirs here. A task takes up to BLOCK members and BLOCK queries of a list, so that
-    a list of any size is spread over pairs of blocks; it reports counts and one edge a query.
+    ones whose border is near enough; later ones send theirs here. A task takes up to BLOCK
+    members and BLOCK queries of a list, so that a list of any size is spread over pairs of
+    blocks; it reports counts and one edge a query. Lists grow as the root of the number of
+    vectors, so the pairs tried for a vector do too.
+
+    Two vectors just at the cosine lie a radius apart. In d dimensions a neighbour in a
+    direction even over the sphere crosses a given plane at ``r`` times the radius with a
+    chance below exp(-d r^2 / 2); lists behind planes for which that is below ``missed`` are
+    not probed. With ``missed`` 0 none within the radius is left out, and no pair can be lost.
 
     Vectors that are null, zero, or hold null or non-finite numbers, those of null label or
     null id, and those of unlike length never link; such rows are components of their own (a
@@ -147,17 +176,13 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     ids = vectors.select(F.col(id_col).alias("id"))
     if not n:
         return ids.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    lists = lists or max(1, min(4096, math.isqrt(n) // 4))
+    lists = lists or max(1, min(MOST_LISTS, math.isqrt(n)))
     sample = good.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(max(256, min(64 * lists, SAMPLE_FLOATS // width))).select("v").collect()
 
-    def unit(values: list[list[float]]) -> np.ndarray:
-        out = np.zeros((len(values), width))
-        for i, v in enumerate(values):
-            out[i, : len(v)] = v
-        out /= np.abs(out).max(1)[:, None]  # no overflow in the squares
-        return out / np.sqrt((out * out).sum(1))[:, None]
-
-    shared, radius = spark.sparkContext.broadcast(Quantiser.fit(unit([r[0] for r in sample]), lists, seed=seed)), math.sqrt(2 - 2 * cosine)
+    radius = math.sqrt(2 - 2 * cosine)
+    reach = radius * (min(1.0, math.sqrt(2 * math.log(1 / missed) / width)) if missed else 1.0)
+    model = Quantiser.fit(_units([r[0] for r in sample], width), lists, seed=seed)
+    shared, stored = spark.sparkContext.broadcast(model), np.float32 if isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType) else np.float64
     schema = T.StructType([
         T.StructField("id", id_type), T.StructField("label", T.StringType()), T.StructField("width", T.IntegerType()), T.StructField("list", T.IntegerType()),
         T.StructField("query", T.BooleanType()), T.StructField("v", T.BinaryType()), T.StructField("codes", T.BinaryType()), T.StructField("off", T.DoubleType()), T.StructField("own", T.BooleanType()),
@@ -170,12 +195,13 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             if not len(batch):
                 continue
             names, labels, values = batch.to_pydict().values()
-            x = unit(values)
-            near, probes = model.probes(x, radius)
+            x = _units(values, width)
+            raw = [np.array(v, stored).tobytes() for v in values]  # as they came: half the bytes of units, where they are floats
+            near, probes = model.probes(x, reach)
             codes, off = model.encode(x, near)
-            out = [(names[i], labels[i], len(values[i]), int(near[i]), False, x[i].tobytes(), codes[i].tobytes(), float(off[i]), True) for i in range(len(x))]
+            out = [(names[i], labels[i], len(values[i]), int(near[i]), False, raw[i], codes[i].tobytes(), float(off[i]), True) for i in range(len(x))]
             earlier = probes & (np.arange(probes.shape[1])[None] <= near[:, None])  # a pair of two lists is found from the later one
-            out += [(names[i], labels[i], len(values[i]), int(j), True, x[i].tobytes(), None, None, bool(near[i] == j)) for i, j in zip(*np.nonzero(earlier), strict=True)]
+            out += [(names[i], labels[i], len(values[i]), int(j), True, raw[i], None, None, bool(near[i] == j)) for i, j in zip(*np.nonzero(earlier), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow.types, strict=True)], schema=arrow)
 
     cell = ["label", "width", "list"]
@@ -198,7 +224,7 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 for r in task:
                     parts[r[5]].append(r[6:])
                 if parts[False] and parts[True]:
-                    links, group = _matched(shared.value, k[2], parts[False], parts[True], cosine, radius)
+                    links, group = _matched(shared.value, k[2], parts[False], parts[True], cosine, radius, stored)
                     names = [r[0] for r in parts[False] + parts[True]]
                     least: dict[int, object] = {}
                     for name, g in zip(names, group, strict=True):

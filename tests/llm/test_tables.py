@@ -17,6 +17,26 @@ def test_components_of_paths_hubs_and_repeats(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_hubs_are_split_with_the_same_components(spark, monkeypatch):
+    from tallyloom.llm import components as module
+
+    monkeypatch.setattr(module, "HUB", 3)
+    rng = random.Random(9)
+    edges = [(0, i) for i in range(1, 300)] + [(300, i) for i in range(301, 500)] + [(rng.randint(600, 900), rng.randint(600, 900)) for _ in range(250)]
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    want = {x: root(x) for a, b in edges if a != b for x in (a, b)}
+    assert {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
+
+
 def vectors():
     rng = random.Random(5)
     rows = []
