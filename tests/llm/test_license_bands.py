@@ -19,3 +19,14 @@ def test_notices_within_long_distinct_text_are_found(spark):
     rows = [(i, text(i), None, None, 1, "x", "y", "z", 1, False, "q") for i in range(1200)]
     names = license_scan.scan_licenses(table(spark, rows)).filter(~F.array_contains(F.split("licenses", ","), "apache-2.0-notice"))
     assert names.count() == 0
+
+
+def test_a_library_in_a_table_and_an_empty_one(spark):
+    texts = [license_scan.TEMPLATES["mit-text"], "pre " * 40 + license_scan.TEMPLATES["zlib"] + " post" * 40, "one two three four five six seven", None]
+    rows = [(i, t, None, None, 1, "x", "y", "z", 1, False, "q") for i, t in enumerate(texts)]
+    own = spark.createDataFrame([("own", "one two three four five six"), ("zlib", license_scan.TEMPLATES["zlib"]), ("short", "too short"), ("none", None)], "template string, text string")
+    got = {r["doc_id"]: (r["licenses"], r["n_licenses"]) for r in license_scan.scan_licenses(table(spark, rows), templates=own).collect()}
+    assert got == {0: ("", 0), 1: ("zlib", 1), 2: ("own", 1), 3: ("", 0)}
+    got = {r["doc_id"]: r["licenses"] for r in license_scan.scan_licenses(table(spark, rows)).collect()}
+    assert got == {0: "mit-notice,mit-text", 1: "zlib", 2: "", 3: ""}
+    assert {r["licenses"] for r in license_scan.scan_licenses(table(spark, rows), templates={}).collect()} == {""}
