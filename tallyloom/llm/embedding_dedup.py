@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tallyloom.llm.common import keep, small_batches
+from tallyloom.llm.common import forget, keep, small_batches
 from tallyloom.llm.components import components
 
 #: Members, and queries, of a list that one task holds at most.
@@ -233,6 +233,7 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                     yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in some], out_arrow.types[0]), pa.array(links[some]), pa.array([least[group[i]] for i in some], out_arrow.types[2])], schema=out_arrow)
 
         found = keep(dealt.mapInArrow(search, out_schema), "matches")
+        forget(indexed)
     joined = keep(components(found.filter("id <> root").select("id", "root")), "components")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     out = ids.join(links, "id", "left").join(joined, F.col("id") == F.col("node"), "left")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import by_hash_mod, keep, mix64, small_batches
+from tallyloom.llm.common import by_hash_mod, forget, keep, mix64, small_batches
 
 UNDETERMINED = "und"
 _letters: dict[str, np.ndarray] = {}
@@ -88,7 +88,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     frequent. Both limits bound what the driver gets: ``grams`` rows a language.
     """
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h")).filter("lang is not null and text is not null")
-    n = keep(rows.groupBy("lang").count(), "languages").withColumnRenamed("lang", "l")
+    numbers = keep(rows.groupBy("lang").count(), "languages")
+    n = numbers.withColumnRenamed("lang", "l")
     place = F.col("h").bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)
     sample = rows.withColumn("place", place).join(n, F.col("lang") == F.col("l")).filter(F.col("place") < F.lit(per_language) / F.col("count")).select("lang", "text")
 
@@ -112,6 +113,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     for i, lang in enumerate(languages):
         for (gram,) in held.filter(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(grams).select("gram").collect():
             table.setdefault(gram, np.zeros(max(1, -(-len(languages) // 64)), np.uint64))[i // 64] |= np.uint64(1 << i % 64)
+    for done in (numbers, counts, held):
+        forget(done)
     masks = np.array(list(table.values())) if table else np.zeros((0, max(1, -(-len(languages) // 64))), np.uint64)
     return LanguageFilter.of(languages, np.array(list(table), np.int64).view(np.uint64), masks)
 

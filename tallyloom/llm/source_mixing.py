@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyloom.llm.common import WORD, keep, text_or_empty
+from tallyloom.llm.common import WORD, forget, keep, text_or_empty
 
 #: Bits of the sampling hash, and bits that each histogram resolves.
 HASH_BITS, LEVEL_BITS = 60, 12
@@ -58,12 +58,14 @@ def _thresholds(rows: DataFrame, rest: DataFrame) -> DataFrame:
         sums = held.groupBy("source", F.shiftright("h", width).alias("bucket")).agg(F.sum("size").alias("n"))
         upto = F.sum("n").over(Window.partitionBy("source").orderBy("bucket"))
         fits = F.col("upto") <= F.col("rest")  # all buckets that fit wholly are taken; the next one is the boundary
-        open_ = keep(
+        before, open_ = open_, keep(
             sums.withColumn("upto", upto).join(open_, same).groupBy("s", "rest")
             .agg(F.max(F.when(fits, F.col("upto"))).alias("fit"), F.min(F.when(~fits, F.col("bucket"))).alias("edge"))
             .select("s", (F.col("rest") - F.coalesce("fit", F.lit(0))).alias("rest"), F.coalesce(F.shiftleft(F.col("edge"), width), F.lit(1 << HASH_BITS)).alias("low")),
             "open",
         )
+        if level:
+            forget(before)
     return open_.select(F.col("s").alias("source"), F.col("low").alias("threshold"), F.col("rest").alias("missing"))
 
 
@@ -81,11 +83,13 @@ def _plan(rows: DataFrame, weights: tuple[float, ...], budget: float, most: floa
         rest = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).filter((F.col("h") >= F.col("threshold")) & (F.col("size") > 0) & fits & ~F.array_contains("closing", F.col("h")))
         best = rest.groupBy("source").agg(F.min(F.struct(F.abs(left).alias("off"), "h")).alias("best"))
         more = F.when(F.col("best").isNotNull(), F.array("best.h")).otherwise(F.array().cast("array<long>"))
-        plan = keep(
+        before, plan = plan, keep(
             plan.join(best, F.col("s").eqNullSafe(F.col("source")), "left").drop("source")
             .withColumns({"closing": F.concat("closing", more), "missing": F.coalesce("best.off", "missing")}).drop("best"),
             "plan",
         )
+        if n:
+            forget(before)
     return plan.drop("missing")
 
 
