@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm.common import keep
+from tallyloom.llm.common import forget, keep
 from tallyloom.llm.exact_dedup import drop_duplicates
 from tallyloom.llm.ngram_join import drop_similar
 from tallyloom.llm.packing import pack_documents
@@ -54,10 +54,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents, each one's rows written to the shared folder and read by the next."""
+    """All stages on documents, each one's rows written to the shared folder, read by the next, and then deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for n, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        out = stage(spark, docs, sf_dir)
         if n < len(STAGES) - 1:
-            docs = keep(docs, "stage")
+            out = keep(out, "stage")
+        if n:
+            forget(docs)  # the last stage too has written all that its result reads
+        docs = out
     return docs
