@@ -63,8 +63,9 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rank, part = F.when(F.col("kind") == kind, i).otherwise(rank), F.when(F.col("kind") == kind, spec[3]).otherwise(part)
     placed = placed.filter("good or kind is null").withColumns({"rank": rank, "part": part, "base": F.col("kind").isin(*BASE)})
     placed = placed.withColumn("scope", F.count_if(F.col("kind") == "break").over(Window.partitionBy("row").orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, 0)))
-    by_start = Window.partitionBy("row", "scope").orderBy("start", "rank", "end")
-    before, after = by_start.rowsBetween(Window.unboundedPreceding, -1), by_start.rowsBetween(1, Window.unboundedFollowing)
+    scope = Window.partitionBy("row", "scope")
+    before = scope.orderBy("start", "rank", "end").rowsBetween(Window.unboundedPreceding, -1)
+    after = scope.orderBy(F.desc("start"), F.desc("rank"), F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)  # backwards: a frame that ends at the last row costs its square
     at_most = lambda far: F.coalesce(far <= reach, F.lit(False))
     ended, begun = lambda c: F.max(F.when(c, F.col("end"))).over(before), lambda c: F.min(F.when(c, F.col("start"))).over(after)
     near = lambda c: at_most(F.col("start") - ended(c)) | at_most(begun(c) - F.col("end"))
