@@ -135,7 +135,7 @@ def license_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = tried.join(if_small(banded), (F.col("span") == F.col("of_span")) & (F.col("b") == F.col("band")) & (F.col("value") == F.col("least")))
     found = found.join(if_small(keep(library.select("template", F.col("parts").alias("of_parts")), "templates")), F.col("of") == F.col("template"))
     share = F.size(F.array_intersect("window", "of_parts")) / F.size("of_parts")
-    sure = keep(found.withColumn("containment", share).filter(F.col("containment") >= contained).select("row", "template", "start", "containment"), "licensed")
+    sure = keep(found.withColumn("containment", share).filter(F.col("containment") >= contained).select("row", "template", "start", "containment").distinct(), "licensed")  # several bands may find one
     return held.select("row", "id").join(sure, "row", "left").select("row", "id", "template", "start", "containment")
 
 
